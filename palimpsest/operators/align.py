@@ -46,8 +46,8 @@ def form_cells(pairs: DataFrame) -> DataFrame:
     Whole-number weights keep the sums exact, so p is the same on every engine and partitioning.
     """
     base = grid(pairs).withColumn("wgt", form_weight(F.col("sn"), F.col("rn")))
-    # a pair's grid is built in one task, so both sums run over one shuffle on pair_id
-    cells = base.filter(F.col("wgt") >= MIN_WEIGHT).repartition("pair_id")
+    # a pair's cells are made in one task and the pair table is hashed on pair_id: no shuffle here
+    cells = base.filter(F.col("wgt") >= MIN_WEIGHT)
     row, col = W.partitionBy("pair_id", "t"), W.partitionBy("pair_id", "s")
     return cells.select(
         "pair_id", "n_s", "n_r", "t", "s", "rw", "rn", "sw", "sn", "wgt",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
-from palimpsest.operators import align, mining
+from palimpsest.operators import align, lexicon, mining
 from palimpsest.operators import tokens as tk
 
 #: Shared content words a pair needs before it is aligned and typed.
@@ -32,6 +32,11 @@ def inputs(spark: SparkSession, folder: str) -> "Inputs":
 class Inputs:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        # every pair-local join and window below may use the pair table's own partitioning
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        cores = spark.sparkContext.defaultParallelism
+        local = spark.sparkContext.master.startswith("local")
+        self.n_parts = cores if local else max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -106,7 +111,8 @@ class Inputs:
             .withColumn("s_norm", F.transform("s_tok", lambda w: tx.normalize(w)))
             .withColumn("r_norm", F.transform("r_tok", lambda w: tx.normalize(w)))
         )
-        return self.keep(out)
+        # hash-partitioned once: windows, aggregates and joins on pair_id reuse this layout
+        return self.keep(out.repartition(self.n_parts, "pair_id"))
 
     # ---- word tables of the pairs -----------------------------------------------------------
 
@@ -152,3 +158,74 @@ class Inputs:
     def pred(self) -> DataFrame:
         """The mutual-best annotator's links: (pair_id, t, s, p)."""
         return self.keep(align.mutual_best(self.fwd, self.rev))
+
+    # ---- inputs of the pool and negative operators --------------------------------------------
+
+    @cached_property
+    def gold_texts(self) -> DataFrame:
+        """Passages of documents labelled toxic stand for the annotated passages no pair may use."""
+        toxic = self.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("work")).distinct()
+        return self.reu.join(toxic, "work", "left_semi").select("txt")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Guarded candidates with a drawn stand-in for a classifier's probability."""
+        pid = F.concat_ws("_", "c", "q")
+        return self.mined.select(
+            pid.alias("id"), F.col("s_txt").alias("source"), F.col("r_txt").alias("reuse"), "n_shared",
+            tx.unit_draw("p", pid).alias("p"),
+        )
+
+    @cached_property
+    def wide(self) -> DataFrame:
+        """Pairs whose reuse side is widened by the passage before and the one after."""
+        near = self.reu.select("pid", F.col("toks").alias("ctx"))
+        before = near.select((F.col("pid") + 1).alias("r_pid"), F.col("ctx").alias("pre"))
+        after = near.select((F.col("pid") - 1).alias("r_pid"), F.col("ctx").alias("post"))
+        none = F.array().cast("array<string>")
+        return (
+            self.pairs.join(before, "r_pid", "left").join(after, "r_pid", "left")
+            .withColumn("r_tok", F.concat(F.coalesce("pre", none), F.col("r_tok"), F.coalesce("post", none)))
+            .withColumn("r_norm", F.transform("r_tok", lambda w: tx.normalize(w)))
+            .withColumn("n_r", F.size("r_tok"))
+            .drop("pre", "post")
+        )
+
+    @cached_property
+    def copies(self) -> DataFrame:
+        """The mined pairs with every verbatim copy of the reuse passage as a record of its own."""
+        copies = self.reu.select(F.col("pid").alias("copy_pid"), F.col("txt").alias("r_txt"))
+        return self.pairs.drop("r_pid").join(copies, "r_txt").select(
+            F.concat_ws("_", "s_pid", "copy_pid").alias("id"), "s_txt", "r_txt"
+        )
+
+    @cached_property
+    def neg_corpus(self) -> DataFrame:
+        return self.reu.select("pid", "work", "seg", "author", "txt", "toks", "n")
+
+    @cached_property
+    def neg_rows(self) -> DataFrame:
+        """Labelled pairs outside fold 0, read as (query = benchmark side, cited = document side)."""
+        return self.pairs.filter("fold <> 0").select(
+            F.col("pair_id").alias("id"), "author", F.col("r_pid").alias("cited_pid"), F.col("r_txt").alias("cited_txt"),
+            F.col("s_txt").alias("query_txt"), F.col("s_norm").alias("query_norm"), F.col("n_s").alias("n_q"),
+        )
+
+    @cached_property
+    def attested_pairs(self) -> DataFrame:
+        return self.pairs.select(F.col("r_txt").alias("txt"), F.col("s_txt").alias("query_txt"))
+
+    # ---- lexicon and vectors -----------------------------------------------------------------
+
+    @cached_property
+    def lexicon(self) -> DataFrame:
+        return self.keep(lexicon.trimmed(lexicon.lexicon_standin(self.tokens)))
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """(lemma, vec): lemmas hashed onto the embedding table; about one in eleven stays unknown."""
+        lemmas = self.tokens.select(tx.lemma_standin(F.col("norm")).alias("lemma")).distinct().filter("lemma is not null")
+        emb = self.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+        return lemmas.withColumn("vec_id", tx.bucket_draw(550, F.col("lemma")).cast("long")).filter(
+            "vec_id < 500"
+        ).join(emb, "vec_id").select("lemma", "vec")

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from palimpsest.queries import tokens_q  # noqa: F401
+from palimpsest.queries import tokens_q, mining_q  # noqa: F401

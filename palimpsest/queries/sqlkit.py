@@ -7,6 +7,7 @@ import re
 from palimpsest.functions import text as tx
 
 WS = tx.WS
+LETTERS = ("ß", "#")
 
 
 def q(s: str) -> str:
@@ -69,6 +70,13 @@ def pos(l: str) -> str:
     )
 
 
+def lev(a: str, b: str) -> str:
+    """Edit distance over characters: DuckDB counts bytes, so the letters beyond ASCII that
+    normalised words keep are mapped to one byte each first."""
+    f, t = LETTERS
+    return f"levenshtein(translate({a},{q(f)},{q(t)}),translate({b},{q(f)},{q(t)}))"
+
+
 STOP = "(" + ",".join(q(w) for w in tx.STOP_WORDS) + ")"
 
 
@@ -127,7 +135,7 @@ cte("rwords", """select pair_id, n_s, n_r, (unnest(range(n_r)))::INT as t, unnes
 cte("swords", """select pair_id, n_s, n_r, (unnest(range(n_s)))::INT as s, unnest(s_tok) as word, unnest(s_norm) as norm from pairs""")
 cte("grid", """select r.pair_id, r.n_s, r.n_r, t, s, r.word as rw, r.norm as rn, x.word as sw, x.norm as sn
     from rwords r join swords x using(pair_id)""")
-cte("cells0", """select *, ((greatest(length(sn),length(rn),1)-levenshtein(sn,rn))*1000 // greatest(length(sn),length(rn),1))::INT as wgt from grid""")
+cte("cells0", f"""select *, ((greatest(length(sn),length(rn),1)-{lev('sn','rn')})*1000 // greatest(length(sn),length(rn),1))::INT as wgt from grid""")
 cte("cells", """select *, wgt::DOUBLE/(sum(wgt) over (partition by pair_id,t)+300)::DOUBLE as p_fwd,
     wgt::DOUBLE/(sum(wgt) over (partition by pair_id,s)+300)::DOUBLE as p_rev from cells0 where wgt>=400""")
 cte("fwd", """select pair_id, t, s, p_fwd as p from cells union all
@@ -150,6 +158,26 @@ cte("rev_head", """select pair_id, s, t, p from (select *, row_number() over (pa
 cte("pred", """select a.pair_id, a.t, a.s, a.p from fwd_head a join rev_head b
     on a.pair_id=b.pair_id and a.t=b.t and a.s=b.s where a.s>=0 and a.t>=0""")
 
+cte("gold_texts", "select txt from reu_p where work in (select doc_id from labels where toxic=1)")
+cte("scored", f"""select c||'_'||q as id, s_txt as source, r_txt as reuse, n_shared, {udraw("'p|'||c||'_'||q")} as p from mined""")
+cte("wide", f"""select *, list_transform(r_tok, lambda w: {norm('w')}) as r_norm, len(r_tok)::INT as n_r from (
+   select p.* exclude (r_tok, r_norm, n_r), list_concat(list_concat(coalesce(a.toks,[]), p.r_tok), coalesce(z.toks,[])) as r_tok
+   from pairs p left join reu_p a on a.pid=p.r_pid-1 left join reu_p z on z.pid=p.r_pid+1) w0""")
+cte("copies", "select p.s_pid||'_'||r.pid as id, p.s_txt, p.r_txt from pairs p join reu_p r on r.txt=p.r_txt")
+cte("neg_rows", """select pair_id as id, author, r_pid as cited_pid, r_txt as cited_txt, s_txt as query_txt,
+   s_norm as query_norm, n_s as n_q from pairs where fold<>0""")
+cte("attested_pairs", "select distinct r_txt as txt, s_txt as query_txt from pairs")
+cte("lex0", f"""select lemma, {pos('lemma')} as pos, lead(lemma,1) over w as synonyms, lead(lemma,2) over w as hypernyms,
+   lag(lemma,2) over w as hyponyms, lead(lemma,3) over w as antonyms, lead(lemma,4) over w as derivatives
+   from (select distinct {lemma('norm')} as lemma from all_tok) z where regexp_full_match(lemma,'[a-z]{{5}}')
+   window w as (partition by substr(lemma,2,4) order by lemma)""")
+cte("lexicon", """select lemma, pos, unnest(['synonyms','hypernyms','hyponyms','antonyms','derivatives']) as relation,
+   unnest([synonyms,hypernyms,hyponyms,antonyms,derivatives]) as other from lex0""")
+cte("lex", "select * from lexicon where other is not null")
+cte("vectors", f"""select lemma, embedding::DOUBLE[] as vec from (
+   select lemma, {bucket(550,'lemma')} as vid from (select distinct {lemma('norm')} as lemma from all_tok) z where lemma is not null) y
+   join embeddings e on e.vec_id=y.vid where vid<500""")
+
 RECURSIVE = {"gold_steps"}
 
 

@@ -75,7 +75,7 @@ def words(text: Column) -> Column:
 
 def squeeze(text: Column) -> Column:
     """The text with every run of white space as one blank."""
-    return F.array_join(words(text), " ")
+    return F.trim(F.regexp_replace(text, WS, " "))
 
 
 def _replace(col: Column, old: str, new: str) -> Column:
@@ -114,22 +114,13 @@ def spelling_key(col: Column) -> Column:
 
 def _drop_enclitic(col: Column) -> Column:
     """Strip the first matching enclitic that leaves at least three characters."""
-    out = col
-    for e in reversed(ENCLITICS):
-        fits = col.endswith(e) & (F.length(col) - len(e) >= 3)
-        out = F.when(fits, F.left(col, F.length(col) - len(e))).otherwise(out)
-    return out
+    return F.regexp_replace(col, "^(.{3,}?)(?:" + "|".join(ENCLITICS) + ")$", "$1")
 
 
 def extended(norm: Column) -> Column:
     """Wider sameness on a normalised form: oe as ae, archaic superlatives as classical ones."""
-    text = _replace(norm, "oe", "ae")
-    out = text
-    for old, new in reversed(ARCHAIC_ENDINGS):
-        out = F.when(
-            text.endswith(old), F.concat(F.left(text, F.length(text) - len(old)), F.lit(new))
-        ).otherwise(out)
-    return out
+    endings = "|".join(old[2:] for old, _ in ARCHAIC_ENDINGS)
+    return F.regexp_replace(_replace(norm, "oe", "ae"), f"um({endings})$", "im$1")
 
 
 def strip_enclitic(col: Column) -> Column:
@@ -137,10 +128,7 @@ def strip_enclitic(col: Column) -> Column:
 
 
 def plural(col: Column) -> Column:
-    return F.when(
-        col.endswith("is") | col.endswith("es"),
-        F.concat(F.left(col, F.length(col) - 2), F.lit("es")),
-    ).otherwise(col)
+    return F.regexp_replace(col, "[ie]s$", "es")
 
 
 SAMENESS = ("current", "+folds", "+enclitic", "+plural")
@@ -161,12 +149,14 @@ def same(policy: str, norm_a: Column, norm_b: Column) -> Column:
     raise ValueError(f"unknown sameness policy {policy!r}; expected one of {SAMENESS}")
 
 
-def content_tokens(tokens: Column) -> Column:
-    """The distinct content words of a token array: four letters or more, no function word."""
-    folded = F.transform(
-        tokens, lambda w: F.regexp_replace(F.translate(F.lower(w), "vj", "ui"), "[^a-z]", "")
-    )
-    kept = F.filter(folded, lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
+def content_tokens(text: Column) -> Column:
+    """The distinct content words of a blank-separated text: four letters or more, no function word.
+
+    The whole text is folded by one pass of each function, then split, so no expression runs per word
+    but the length and stop-word test.
+    """
+    letters = F.regexp_replace(F.translate(F.lower(text), "vj", "ui"), "[^a-z ]", "")
+    kept = F.filter(F.split(letters, " "), lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
     return F.array_distinct(kept)
 
 

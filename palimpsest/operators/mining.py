@@ -7,63 +7,78 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
-from palimpsest.plans.lineage import cut, hash_rank, is_empty
+from palimpsest.plans.lineage import BROADCAST_ROWS, cut, fits, hash_rank, is_empty
 
 #: A query word in more than this many passages is salted before the index join.
 HOT_ROWS = 100_000
 
 
 def distinct_passages(df: DataFrame) -> DataFrame:
-    """One row per distinct text, the smallest pid kept (partial aggregation before the shuffle)."""
-    return df.groupBy("txt").agg(F.min("pid").alias("pid")).join(
-        df.drop("txt"), "pid"
-    )
+    """One row per distinct text with its smallest pid. The words are read back off the text, so the
+    aggregate carries one long per text and combines map-side."""
+    once = df.groupBy("txt").agg(F.min("pid").alias("pid"))
+    toks = F.split("txt", " ")
+    return once.select("pid", "txt", toks.alias("toks"), F.size(toks).alias("n"))
 
 
 def _content_rows(df: DataFrame) -> DataFrame:
-    return df.select("pid", F.explode(tx.content_tokens(F.col("toks"))).alias("token"))
+    return df.select("pid", F.explode(tx.content_tokens(F.col("txt"))).alias("token"))
 
 
 def shared_counts(
-    corpus: DataFrame, queries: DataFrame, *, min_shared: int, max_df: int, hot_rows: int = HOT_ROWS
+    corpus: DataFrame,
+    queries: DataFrame,
+    *,
+    min_shared: int,
+    max_df: int,
+    hot_rows: int = HOT_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """(q, c, n_shared) for every pair that shares at least ``min_shared`` content words.
 
     The corpus side is the index: words in more than ``max_df`` corpus passages are not indexed (that
-    is the operator's definition, not a guard). A query word that fills more than ``hot_rows``
-    passages would make one reducer's input; its index rows (at most ``max_df``) are copied once per
-    salt and its query rows spread over the salts.
+    is the operator's definition, not a guard). Two plans, chosen by the counted size of the index:
+
+    * small index: it is broadcast, query passages stay where they are, and all hits of one passage
+      meet in one task, so the counts combine before the only shuffle;
+    * large index: sort-merge join on (word, salt). A query word in more than ``hot_rows`` passages
+      would be one reducer's input; its index rows (at most ``max_df``) are copied once per salt and
+      its query rows spread over the salts.
     """
     c = _content_rows(corpus)
     q = _content_rows(queries)
     index_df = c.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df)
-    # only the index vocabulary is counted on the query side, so its size stays that of the index
+    index = c.join(index_df.select("token"), "token", "left_semi")
+    if fits(index, broadcast_rows):
+        hits = q.withColumnRenamed("pid", "q").join(
+            F.broadcast(index.withColumnRenamed("pid", "c")), "token"
+        )
+    else:
+        hits = _salted_hits(index, index_df, q, hot_rows)
+    return hits.groupBy("q", "c").agg(F.count("*").alias("n_shared")).filter(F.col("n_shared") >= min_shared)
+
+
+def _salted_hits(index: DataFrame, index_df: DataFrame, q: DataFrame, hot_rows: int) -> DataFrame:
+    # only the index vocabulary is counted on the query side
     q_df = (
         q.join(index_df.select("token"), "token", "left_semi")
         .groupBy("token")
         .agg(F.count("*").alias("q_df"))
         .withColumn("salts", F.ceil(F.col("q_df") / hot_rows).cast("int"))
     )
-    index = c.join(q_df.select("token", "salts"), "token").select(
+    spread = index.join(q_df.select("token", "salts"), "token").select(
         "token",
         F.col("pid").alias("c"),
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
     )
+    # words above the threshold: at most total rows / hot_rows of them
     hot = q_df.filter("salts > 1").select("token", "salts")
     probe = q.join(hot, "token", "left").select(
         "token",
         F.col("pid").alias("q"),
-        F.when(F.col("salts").isNull(), 0)
-        .otherwise(F.pmod(F.xxhash64("pid"), F.col("salts")))
-        .cast("int")
-        .alias("salt"),
-    )
-    return (
-        probe.join(index, ["token", "salt"])
-        .groupBy("q", "c")
-        .agg(F.count("*").alias("n_shared"))
-        .filter(F.col("n_shared") >= min_shared)
+        F.coalesce(F.pmod(F.xxhash64("pid"), F.col("salts")), F.lit(0)).cast("int").alias("salt"),
     )
+    return probe.join(spread.hint("merge"), ["token", "salt"])
 
 
 def overlap_pairs(

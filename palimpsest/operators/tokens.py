@@ -13,26 +13,20 @@ WINDOW = 24
 
 def passages(df: DataFrame, work: str, *, size: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
     """Cut every text into windows of ``size`` words. Narrow: no row leaves its partition."""
-    toks = df.select(F.col(work).cast("long").alias("work"), *keep, tx.words(F.col("text")).alias("_w"))
-    n_segs = F.ceil(F.size("_w") / F.lit(size)).cast("int")
-    segs = F.transform(
-        F.sequence(F.lit(0), n_segs - 1),
-        lambda k: F.struct(
-            k.alias("seg"), F.slice(F.col("_w"), k * size + 1, F.lit(size)).alias("toks")
-        ),
-    )
-    return (
-        toks.filter(F.size("_w") > 0)
-        .select("work", *keep, F.inline(segs))
-        .select(
-            (F.col("work") * 1000000 + F.col("seg")).alias("pid"),
-            "work",
-            "seg",
-            *keep,
-            "toks",
-            F.size("toks").alias("n"),
-            F.array_join("toks", " ").alias("txt"),
-        )
+    # one greedy regular expression cuts the text into windows in a single linear pass
+    window = "[^ ]+(?: [^ ]+){0,%d}" % (size - 1)
+    cut = F.regexp_extract_all(tx.squeeze(F.col("text")), F.lit(window), F.lit(0))
+    toks = F.split("txt", " ")
+    return df.select(
+        F.col(work).cast("long").alias("work"), *keep, F.posexplode(cut).alias("seg", "txt")
+    ).select(
+        (F.col("work") * 1000000 + F.col("seg")).alias("pid"),
+        "work",
+        "seg",
+        *keep,
+        toks.alias("toks"),
+        F.size(toks).alias("n"),
+        "txt",
     )
 
 

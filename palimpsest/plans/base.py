@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
-from palimpsest.operators import align, lexicon, mining
+from palimpsest.operators import align, evidence, lexicon, mining
 from palimpsest.operators import tokens as tk
 
 #: Shared content words a pair needs before it is aligned and typed.
@@ -229,3 +229,40 @@ class Inputs:
         return lemmas.withColumn("vec_id", tx.bucket_draw(550, F.col("lemma")).cast("long")).filter(
             "vec_id < 500"
         ).join(emb, "vec_id").select("lemma", "vec")
+
+    # ---- evidence ------------------------------------------------------------------------------
+
+    @cached_property
+    def names(self) -> DataFrame:
+        """Names: capitalised forms the benchmark holds at least twice inside a sentence."""
+        inside = self.tokens.filter("side = 's' and i > 0").select(tk.clean_form(F.col("surface")).alias("form"))
+        return inside.filter(F.col("form").rlike(r"^\p{Lu}")).groupBy("form").agg(F.count("*").alias("n")).filter("n >= 2")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        words = self.rwords.select("word", "norm").unionByName(self.swords.select("word", "norm"))
+        return self.keep(evidence.word_facts(words, self.names, tk.attested_forms(self.tokens)))
+
+    @cached_property
+    def evidence(self) -> DataFrame:
+        """All 23 features of every cell."""
+        cells = evidence.cell_facts(self.rwords, self.swords, self.facts)
+        flags = lexicon.relation_flags(self.lexicon)
+        pairs = evidence.lemma_pair_facts(cells, flags, self.vectors, self.lexicon)
+        return evidence.features(cells, pairs).withColumn("tier", evidence.tier())
+
+    @cached_property
+    def evid(self) -> DataFrame:
+        """The cells that carry any evidence (a tier, a similar form or a close vector), kept."""
+        some = (F.col("tier") > 0) | (F.col("edit_ratio") >= 0.4) | (F.col("cos") >= 0.35)
+        return self.keep(self.evidence.filter(some).repartition(self.n_parts, "pair_id"))
+
+    @cached_property
+    def tiers(self) -> DataFrame:
+        return self.evid.filter("tier > 0")
+
+    @cached_property
+    def sims(self) -> DataFrame:
+        """Word-vector cosines of the cells whose two lemmas are known: (pair_id, t, s, v)."""
+        return self.keep(self.evidence.filter("cos_missing = 0").select("pair_id", "t", "s", "n_r", "n_s", F.round("cos", 9).alias("v"))
+                         .repartition(self.n_parts, "pair_id"))

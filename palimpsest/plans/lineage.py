@@ -30,6 +30,15 @@ def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
 
+#: A side is broadcast by hand only when a bounded count has shown that it holds no more rows than this.
+BROADCAST_ROWS = 500_000
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` holds at most ``rows`` rows; the job stops as soon as it has seen more."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def hash_rank(df: DataFrame, key: Column, out: str = "rn", by: list[str] | None = None) -> DataFrame:
     """Row numbers (from 1) over md5 order, without sorting the table in one task.
 

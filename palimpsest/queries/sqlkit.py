@@ -178,6 +178,48 @@ cte("vectors", f"""select lemma, embedding::DOUBLE[] as vec from (
    select lemma, {bucket(550,'lemma')} as vid from (select distinct {lemma('norm')} as lemma from all_tok) z where lemma is not null) y
    join embeddings e on e.vec_id=y.vid where vid<500""")
 
+_EXC = "('quoque','denique','neque','atque','usque','itaque','namque','undique')"
+cte("names", r"""select form, count(*) as n from (select regexp_replace(surface,'[^\p{L}]','','g') as form from all_tok where side='s' and i>0) z
+   where regexp_matches(form,'^\p{Lu}') group by form having count(*)>=2""")
+cte("attested", "select norm from all_tok where norm<>'' group by norm having count(*)>=3")
+cte("enc", f"""select word, stem, stem_norm, enclitic from (select *, row_number() over (partition by word order by o) as rk from (
+   select word, o, e as enclitic, left(cl, length(cl)-length(e)) as stem, {norm('left(cl, length(cl)-length(e))')} as stem_norm from (
+     select word, cl, unnest([0,1,2,3]) as o, unnest(['que','ue','ve','ne']) as e from (
+       select word, regexp_replace(word,'[^A-Za-z]','','g') as cl from (select word from rwords union select word from swords) w0) w1
+     where lower(cl) not in {_EXC}) w2 where ends_with(lower(cl),e) and length(cl)-length(e)>=3) w3
+   where stem_norm in (select norm from attested)) w4 where rk=1""")
+cte("facts", f"""select w.word, w.norm, {lemma('w.norm')} as lemma, {pos(lemma('w.norm'))} as pos,
+   regexp_matches(regexp_replace(w.word,'^[^A-Za-z]+',''),'^[A-Z]') as cap,
+   regexp_replace(w.word,'[^\\p{{L}}]','','g') in (select form from names) and regexp_matches(regexp_replace(w.word,'[^\\p{{L}}]','','g'),'^\\p{{Lu}}') as is_name,
+   e.stem_norm, e.enclitic from (select word, norm from rwords union select word, norm from swords) w left join enc e on e.word=w.word""")
+cte("rel_flags", """select la, lb, max((relation='synonyms')::INT) wn_syn, max((relation='hypernyms')::INT) wn_hyper, max((relation='hyponyms')::INT) wn_hypo,
+   max((relation='antonyms')::INT) wn_ant, max((relation='derivatives')::INT) wn_deriv from (
+     select lemma as la, other as lb, relation from lex union all
+     select other, lemma, case relation when 'hypernyms' then 'hyponyms' when 'hyponyms' then 'hypernyms' else relation end from lex) z group by la, lb""")
+cte("evidence", f"""select *, case when same_form=1 then 4 when same_lemma=1 then 3 when enclitic_stem_match=1 and enclitic_src<>enclitic_tgt then 2
+     when wn_any=1 or both_names=1 then 1 else 0 end as tier from (
+   select g.pair_id, g.t, g.s, g.n_r, g.n_s, g.rw, g.sw, g.rn, g.sn, (g.sn=g.rn)::INT as same_form,
+     coalesce(a.lemma=b.lemma and g.sn<>g.rn, false)::INT as same_lemma, (a.lemma is null or b.lemma is null)::INT as lemma_missing,
+     coalesce(f.wn_syn,0) wn_syn, coalesce(f.wn_hyper,0) wn_hyper, coalesce(f.wn_hypo,0) wn_hypo, coalesce(f.wn_ant,0) wn_ant, coalesce(f.wn_deriv,0) wn_deriv,
+     greatest(coalesce(f.wn_syn,0),coalesce(f.wn_hyper,0),coalesce(f.wn_hypo,0),coalesce(f.wn_ant,0),coalesce(f.wn_deriv,0)) wn_any,
+     (a.lemma is null or b.lemma is null or pr.lemma is null)::INT as wn_missing,
+     coalesce(least(greatest(list_cosine_similarity(va.vec,vb.vec),0.0),1.0),0.0) as cos, (va.vec is null or vb.vec is null)::INT as cos_missing,
+     (a.is_name and b.is_name)::INT both_names, (a.is_name or b.is_name)::INT either_name,
+     (a.stem_norm is not null)::INT enclitic_src, (b.stem_norm is not null)::INT enclitic_tgt,
+     (coalesce(a.stem_norm=g.rn,false) or coalesce(b.stem_norm=g.sn,false) or coalesce({lemma('a.stem_norm')}=b.lemma and g.sn<>g.rn,false)
+       or coalesce({lemma('b.stem_norm')}=a.lemma and g.sn<>g.rn,false))::INT enclitic_stem_match,
+     coalesce(list_position(list_transform(range(1,least(length(g.sn),length(g.rn))+1), lambda i: substr(g.sn,i,1)<>substr(g.rn,i,1)), true)-1,
+       least(length(g.sn),length(g.rn)))::DOUBLE/greatest(length(g.sn),length(g.rn),1) as prefix_ratio,
+     1.0::DOUBLE-{lev('g.sn','g.rn')}::DOUBLE/greatest(length(g.sn),length(g.rn),1) as edit_ratio,
+     least(length(g.sn),length(g.rn))::DOUBLE/greatest(length(g.sn),length(g.rn),1) as len_ratio,
+     (a.cap=b.cap)::INT same_case, coalesce(a.pos=b.pos,false)::INT same_pos,
+     least(greatest(0.5::DOUBLE+(g.t::DOUBLE/greatest(g.n_r,1)-g.s::DOUBLE/greatest(g.n_s,1))/2.0::DOUBLE,0.0),1.0) as rel_position
+   from grid g join facts a on a.word=g.sw join facts b on b.word=g.rw
+   left join rel_flags f on f.la=a.lemma and f.lb=b.lemma left join vectors va on va.lemma=a.lemma left join vectors vb on vb.lemma=b.lemma
+   left join (select distinct lemma from lex) pr on pr.lemma=a.lemma) z""")
+cte("tiers", "select * from evidence where tier>0")
+cte("sims", "select pair_id, t, s, n_r, n_s, round(cos,9) as v from evidence where cos_missing=0")
+
 RECURSIVE = {"gold_steps"}
 
 

@@ -62,7 +62,7 @@ def content_words(b: Inputs):
     from palimpsest.operators.mining import distinct_passages
 
     parts = [
-        distinct_passages(df).select(F.lit(side).alias("side"), "pid", F.explode(tx.content_tokens(F.col("toks"))).alias("token"))
+        distinct_passages(df).select(F.lit(side).alias("side"), "pid", F.explode(tx.content_tokens(F.col("txt"))).alias("token"))
         for side, df in (("s", b.src), ("r", b.reu))
     ]
     return parts[0].unionByName(parts[1])

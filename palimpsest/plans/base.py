@@ -1,20 +1,20 @@
 """Shared inputs of the queries: passages, mined pairs, word tables, cells and two link annotators.
 
-One ``Inputs`` per (session, folder). The mined pair table is persisted because most queries start
-from it; losing an executor only recomputes its blocks from the parquet files.
+One ``Inputs`` per (session, folder). The tables most queries start from (mined pairs, scored cells,
+evidence, two sets of links) are written once to the checkpoint folder.
 """
 
 from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
 from palimpsest.operators import align, evidence, lexicon, mining
 from palimpsest.operators import tokens as tk
+from palimpsest.plans.lineage import cut
 
 #: Shared content words a pair needs before it is aligned and typed.
 PAIR_MIN_SHARED = 3
@@ -50,7 +50,9 @@ class Inputs:
 
     @staticmethod
     def keep(df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        """An intermediate table many queries start from: written once to the checkpoint folder, so it
+        survives a lost executor, is never mined twice, and later plans start at it."""
+        return cut(df)
 
     # ---- passages -------------------------------------------------------------------------
 
@@ -266,3 +268,30 @@ class Inputs:
         """Word-vector cosines of the cells whose two lemmas are known: (pair_id, t, s, v)."""
         return self.keep(self.evidence.filter("cos_missing = 0").select("pair_id", "t", "s", "n_r", "n_s", F.round("cos", 9).alias("v"))
                          .repartition(self.n_parts, "pair_id"))
+
+    @cached_property
+    def cell_evidence(self) -> DataFrame:
+        """The evidence of the scored candidate cells, whatever it says."""
+        keys = self.cells.select("pair_id", "t", "s")
+        return self.keep(self.evidence.join(keys, ["pair_id", "t", "s"], "left_semi").repartition(self.n_parts, "pair_id"))
+
+    # ---- scripts -------------------------------------------------------------------------------
+
+    @cached_property
+    def words(self) -> DataFrame:
+        """The predicted triple per reuse word: (pair_id, n_s, n_r, t, word, norm, s, tag, frame)."""
+        from palimpsest.operators import typing_ as ty
+
+        return self.keep(ty.typed_words(self.rwords, self.pred, self.cell_evidence).repartition(self.n_parts, "pair_id"))
+
+    @cached_property
+    def gold_words(self) -> DataFrame:
+        from palimpsest.operators import typing_ as ty
+
+        return self.keep(ty.typed_words(self.rwords, self.gold, self.cell_evidence).repartition(self.n_parts, "pair_id"))
+
+    @cached_property
+    def script(self) -> DataFrame:
+        from palimpsest.operators import script as sc
+
+        return self.keep(sc.decode_script(self.words, self.swords))

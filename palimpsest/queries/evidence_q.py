@@ -40,7 +40,7 @@ def candidates(b: Inputs):
 
 _ANN = f"""select t.pid, t.i, t.surface, t.norm, {_LEM} as lemma, {_POS} as pos,
    regexp_replace(surface,'[^\\p{{L}}]','','g') in (select form from names) and regexp_matches(regexp_replace(surface,'[^\\p{{L}}]','','g'),'^\\p{{Lu}}') as is_name,
-   norm in {k.STOP} as is_stop, e.enclitic from all_tok t left join encs e on e.surface=t.surface where side='s'"""
+   t.norm in {k.STOP} as is_stop, e.enclitic from all_tok t left join (select surface as es, enclitic from encs) e on e.es=t.surface where side='s'"""
 k.cte("encs", f"""select surface, enclitic, stem from (select *, row_number() over (partition by surface order by o) as rk from (
    select surface, o, e as enclitic, left(cl, length(cl)-length(e)) as stem, {k.norm('left(cl, length(cl)-length(e))')} as stem_norm from (
      select surface, cl, unnest([0,1,2,3]) as o, unnest(['que','ue','ve','ne']) as e from (

@@ -21,12 +21,17 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_ctes(sql)
+            ORACLES[name] = sql
         return fn
 
     return register
 
 
+def oracle_text() -> dict[str, str]:
+    """Every check as one self-contained statement."""
+    return {name: with_ctes(sql) for name, sql in ORACLES.items()}
+
+
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return QUERIES[name](inputs(spark, sf_dir))

@@ -19,6 +19,9 @@ from palimpsest.plans.lineage import cut
 #: Shared content words a pair needs before it is aligned and typed.
 PAIR_MIN_SHARED = 3
 
+#: The driver texts hold no Latin citing verbs; these frequent words stand for the keyword list.
+KEYWORDS = ("the", "la", "de", "que", "der", "of")
+
 _CACHE: dict[tuple[str, str], "Inputs"] = {}
 
 
@@ -282,13 +285,13 @@ class Inputs:
         """The predicted triple per reuse word: (pair_id, n_s, n_r, t, word, norm, s, tag, frame)."""
         from palimpsest.operators import typing_ as ty
 
-        return self.keep(ty.typed_words(self.rwords, self.pred, self.cell_evidence).repartition(self.n_parts, "pair_id"))
+        return self.keep(ty.typed_words(self.rwords, self.pred, self.cell_evidence, KEYWORDS).repartition(self.n_parts, "pair_id"))
 
     @cached_property
     def gold_words(self) -> DataFrame:
         from palimpsest.operators import typing_ as ty
 
-        return self.keep(ty.typed_words(self.rwords, self.gold, self.cell_evidence).repartition(self.n_parts, "pair_id"))
+        return self.keep(ty.typed_words(self.rwords, self.gold, self.cell_evidence, KEYWORDS).repartition(self.n_parts, "pair_id"))
 
     @cached_property
     def script(self) -> DataFrame:

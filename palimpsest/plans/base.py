@@ -248,14 +248,16 @@ class Inputs:
         words = self.rwords.select("word", "norm").unionByName(self.swords.select("word", "norm"))
         return self.keep(evidence.word_facts(words, self.names, tk.attested_forms(self.tokens)))
 
-    @cached_property
-    def evidence(self) -> DataFrame:
-        """All 23 features of every cell."""
-        cells = evidence.cell_facts(self.rwords, self.swords, self.facts)
+    def _features(self, cells: DataFrame) -> DataFrame:
         flags = lexicon.relation_flags(self.lexicon)
         pairs = evidence.lemma_pair_facts(cells, flags, self.vectors, self.lexicon)
         return evidence.features(cells, pairs).withColumn("tier", evidence.tier())
 
+    @cached_property
+    def evidence(self) -> DataFrame:
+        """All 23 features of every cell."""
+        return self._features(evidence.cell_facts(self.rwords, self.swords, self.facts))
+
     @cached_property
     def evid(self) -> DataFrame:
         """The cells that carry any evidence (a tier, a similar form or a close vector), kept."""
@@ -276,7 +278,9 @@ class Inputs:
     def cell_evidence(self) -> DataFrame:
         """The evidence of the scored candidate cells, whatever it says."""
         keys = self.cells.select("pair_id", "t", "s")
-        return self.keep(self.evidence.join(keys, ["pair_id", "t", "s"], "left_semi").repartition(self.n_parts, "pair_id"))
+        # the cells are cut down before the costly features and lookups, not after
+        scored = evidence.cell_facts(self.rwords, self.swords, self.facts).join(keys, ["pair_id", "t", "s"], "left_semi")
+        return self.keep(self._features(scored).repartition(self.n_parts, "pair_id"))
 
     # ---- scripts -------------------------------------------------------------------------------
 

@@ -222,14 +222,19 @@ class Inputs:
 
     # ---- lexicon and vectors -----------------------------------------------------------------
 
+    @cached_property
+    def norms(self) -> DataFrame:
+        """The vocabulary with its counts: read off the corpus once, used by every word-level lookup."""
+        return self.keep(self.tokens.groupBy("norm").agg(F.count("*").alias("n")))
+
     @cached_property
     def lexicon(self) -> DataFrame:
-        return self.keep(lexicon.trimmed(lexicon.lexicon_standin(self.tokens)))
+        return self.keep(lexicon.trimmed(lexicon.lexicon_standin(self.norms)))
 
     @cached_property
     def vectors(self) -> DataFrame:
         """(lemma, vec): lemmas hashed onto the embedding table; about one in eleven stays unknown."""
-        lemmas = self.tokens.select(tx.lemma_standin(F.col("norm")).alias("lemma")).distinct().filter("lemma is not null")
+        lemmas = self.norms.select(tx.lemma_standin(F.col("norm")).alias("lemma")).distinct().filter("lemma is not null")
         emb = self.table("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"))
         return lemmas.withColumn("vec_id", tx.bucket_draw(550, F.col("lemma")).cast("long")).filter(
             "vec_id < 500"
@@ -246,7 +251,7 @@ class Inputs:
     @cached_property
     def facts(self) -> DataFrame:
         words = self.rwords.select("word", "norm").unionByName(self.swords.select("word", "norm"))
-        return self.keep(evidence.word_facts(words, self.names, tk.attested_forms(self.tokens)))
+        return self.keep(evidence.word_facts(words, self.names, self.norms.filter("norm <> '' and n >= 3")))
 
     def _features(self, cells: DataFrame) -> DataFrame:
         flags = lexicon.relation_flags(self.lexicon)

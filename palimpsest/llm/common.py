@@ -115,7 +115,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         a, b = np.maximum(s, 0), np.minimum(e, stop - at)
         part = (sums[b] - sums[a]) * _DOWN[a]
         if first:
-            part[0] *= np.uint64(pow(_ODD, skip, 1 << 64))
+            part[:1] *= np.uint64(pow(_ODD, skip, 1 << 64))
         out[lo:hi] += part
     return mix64(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

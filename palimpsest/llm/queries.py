@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm import quality
 from palimpsest.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,32 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(table(spark, sf_dir, "documents"))
 
 
+OP2_SQL = """
+with line as (
+    select doc_id, unnest(parts) as line, unnest(range(len(parts))) as i
+    from (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents)
+), keyed as (
+    select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+    from line
+), shared as (
+    select key, max(doc_id) as keeper from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+), judged as (
+    select k.*, s.key is not null and k.doc_id is distinct from s.keeper as dropped from keyed k left join shared s using (key)
+)
+select doc_id, count(*) as n_lines, count(*) filter (dropped) as n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (not dropped), '')) as kept_sha256
+from judged group by doc_id
+"""
+
+
+@query("op2_line_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents"), digest=True)
+
+
 @query("op4_token_matrices")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.token_matrix import packed_matrices
@@ -48,3 +75,75 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.shard import shards
 
     return shards(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+with word as (
+    select doc_id, lang, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), windows as (
+    select doc_id, unnest(range(1, len(w) - 3)) as i, w from word where len(w) >= 5
+), gram as (
+    select doc_id, i, w[i:i + 4] as g from windows
+), twice as (
+    select doc_id, i, count(*) over (partition by doc_id, g) as c from gram
+), covered as (
+    select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from twice where c >= 2) group by doc_id
+), line as (
+    select doc_id, l from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as l from documents)
+    where regexp_matches(l, '[^\x20\x09-\x0D]')
+), lines as (
+    select doc_id, count(*) as n_lines, count(*) - count(distinct l) as n_dup from line group by doc_id
+), base as (
+    select word.doc_id, lang, source, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+        length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup, 0) as n_dup_lines,
+        coalesce(c.n, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines
+    from word left join covered c using (doc_id) left join lines using (doc_id)
+), ruled as (
+    select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from base
+), valued as (
+    select doc_id, lang, source, base_failed, unnest([
+        {{'f': 'word_length', 'v': word_chars * 100 // nullif(n_words, 0)}}, {{'f': 'symbols', 'v': n_symbols * 1000 // nullif(n_words, 0)}},
+        {{'f': 'dup_lines', 'v': n_dup_lines * 1000 // nullif(n_lines, 0)}}, {{'f': 'repeats', 'v': n_repeat_words * 1000 // nullif(n_words, 0)}}
+    ], recursive := true) from ruled
+), sketch as (
+    select level, case when level >= 1 then lang end as lang, case when level = 2 then source end as source, f,
+        v - v % (1::bigint << greatest(length(bin(v)) - 7, 0)) as bucket, count(*) as n
+    from valued, (select unnest([0, 1, 2]) as level) where not base_failed group by all
+), cum as (
+    select *, sum(n) over (partition by level, lang, source, f order by bucket) as c,
+        sum(n) over (partition by level, lang, source, f) as total from sketch
+), quart as (
+    select level, lang, source, f, max(total) as total, min(bucket) filter (c * 4 >= total) as q1,
+        min(bucket) filter (c * 4 >= total * 2) as q2, min(bucket) filter (c * 4 >= total * 3) as q3
+    from cum group by all
+), bound as (
+    select *, q2 + {reach} * greatest(q2 - q1, s) as high, case when f = 'word_length' then q2 - {reach} * greatest(q3 - q2, s) else -1 end as low
+    from quart join (values {floors}) as t(f, s) using (f) where level = 0 or total >= {min_group}
+), verdict as (
+    select v.doc_id, bool_and(v.v between b.low and b.high) as inside
+    from valued v join bound b on v.f = b.f and (b.level = 0 or v.lang is not distinct from b.lang)
+        and (b.level < 2 or v.source is not distinct from b.source)
+    where b.level = (
+        select max(x.level) from bound x where x.f = v.f and (x.level = 0 or v.lang is not distinct from x.lang)
+            and (x.level < 2 or v.source is not distinct from x.source)
+    )
+    group by v.doc_id
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    coalesce(not base_failed and inside, false) as kept
+from ruled left join verdict using (doc_id)
+""".format(
+    reach=quality.REACH, min_group=quality.MIN_GROUP, floors=", ".join(f"('{n}', {f[1]})" for n, f in quality.FEATURES.items())
+)
+
+
+@query("op9_quality_rules", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))

@@ -56,6 +56,30 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents"), digest=True)
 
 
+OP3_SQL = """
+with v as (
+    select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as e from embeddings
+    where vec_id is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), term as (
+    select vec_id, unnest(e) as w, unnest(range(len(e))) as d from v
+), scored as (
+    select q.vec_id as query_id, c.vec_id, sum(q.w * c.w)::bigint as score
+    from term q join term c on q.d = c.d and q.vec_id <> c.vec_id
+    where q.vec_id % 20 = 0 group by 1, 2
+)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score
+from scored qualify rank <= 20
+"""
+
+
+@query("op3_block_topk", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query("op4_token_matrices")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.token_matrix import packed_matrices

@@ -108,6 +108,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+OP8_SQL = r"""
+with recursive word as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') as w from documents
+), raw as materialized (
+    select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g
+    from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from word where len(w) > 0)
+), size as materialized (
+    select doc_id, count(*) as n from raw group by doc_id
+), link as materialized (
+    select x.doc_id as a, y.doc_id as b from raw x join raw y on x.g = y.g and x.doc_id <> y.doc_id
+    join size sx on sx.doc_id = x.doc_id join size sy on sy.doc_id = y.doc_id
+    group by x.doc_id, y.doc_id, sx.n, sy.n having 100 * count(*) >= 75 * (sx.n + sy.n - count(*))
+), reach(a, b) as (
+    select doc_id, doc_id from size union select reach.a, link.b from reach join link on link.a = reach.b
+)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, coalesce(r.c, d.doc_id) as component_id
+from documents d left join size s using (doc_id) left join (select a as doc_id, min(b) as c from reach group by a) r using (doc_id)
+"""
+
+
+@query("op8_ngram_jaccard", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = r"""
 with word as (
     select doc_id, lang, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents

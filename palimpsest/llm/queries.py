@@ -199,3 +199,10 @@ from ruled left join verdict using (doc_id)
 @query("op9_quality_rules", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.lm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))

@@ -150,9 +150,15 @@ def keep_identified(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     where they are and not moved."""
     contents = dictionaries(sample(docs, "doc_id", "text", "lang"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = _judge(contents, batch.column("text").to_pylist())
-            yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= margin for x in found], pa.bool_()))
+    at = docs.columns.index("text")
 
-    return docs.mapInArrow(run, docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices([whole], whole.schema.names[at]):
+                found = _judge(contents, batch.column(at).to_pylist())
+                kept = batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= margin for x in found], pa.bool_()))
+                yield kept.rename_columns(names)
+
+    names = docs.columns
+    # columns go by number on the way in, whatever characters their names have
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, docs.schema)

@@ -232,6 +232,7 @@ def dedup_lines(
     n_shards = n_keys // SHARD_KEYS + 1
     shards = build_shards(shared, n_shards)
     names = docs.columns
+    inputs: list[str] = []
     if n_keys <= probe_keys:
         # at most PROBE_KEYS hashes, about 21 bytes each
         sent = spark.sparkContext.broadcast({r["shard"]: bytes(r["arrays"]) for r in shards.collect()})
@@ -241,9 +242,16 @@ def dedup_lines(
         found = "_found" + "_" * max(len(n) for n in names)  # a name that ``docs`` has not
         rows = _with_found(docs, hashes, shards, n_shards, id_col, found)
 
+    if not digest:
+        inputs = rows.columns  # columns go by number on the way in, whatever characters their names have
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _opened(sent) if sent is not None else None
-        for batch in slices(batches, text_col):
+        for batch in batches if not inputs else (b.rename_columns(inputs) for b in batches):
+            yield from one(batch, table)
+
+    def one(whole: pa.RecordBatch, table) -> Iterator[pa.RecordBatch]:
+        for batch in slices([whole], text_col):
             column, ids = batch.column(text_col), batch.column(id_col).cast(pa.int64())
             lines = Lines(column, min_chars)
             if table is not None:
@@ -275,11 +283,9 @@ def dedup_lines(
     if digest:
         keep = [F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), *([F.col(found)] if found else [])]
         return rows.select(*keep).mapInArrow(run, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
-    schema = docs.schema
-    for n in ("n_lines", "n_dropped"):
-        if n not in names:
-            schema = schema.add(n, T.LongType())
-    return rows.mapInArrow(run, schema)
+    counts = [T.StructField(n, T.LongType()) for n in ("n_lines", "n_dropped") if n not in names]
+    plain = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    return plain.mapInArrow(run, T.StructType([*docs.schema.fields, *counts]))
 
 
 def _with_found(docs: DataFrame, hashes: DataFrame, shards: DataFrame, n_shards: int, id_col: str, found: str) -> DataFrame:

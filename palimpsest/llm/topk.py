@@ -165,7 +165,7 @@ def top_k(
     Components are floor(64 x); the score is their integer inner product, ties go to the smaller id. Vectors that
     are null or hold a null or non-finite component, and rows without an id, take no part. A shorter vector counts
     as filled up with zeros. A repeated row is a row of its own: a candidate for its twins and, if its id says so,
-    a query. Fewer than ``k`` other rows give as many results, an empty table none. Other columns are not read.
+    a query. Scores are 64-bit numbers. Fewer than ``k`` other rows give as many results, an empty table none. Other columns are not read.
     """
     number, vector = F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{vector_col}`").cast("array<double>")
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
@@ -185,12 +185,14 @@ def top_k(
     asked = dealt(index.filter("n_queries > 0").select("block", "ids", "dim", "q_slots", "q_matrix", "q_floor"),
                   "qs", n_query_sets, "bs", n_block_sets)
     scored = dealt(index.select("block", "ids", "dim", "matrix", "high", "low"), "bs", n_block_sets, "qs", n_query_sets)
+    scored = scored.select(*[F.col(c).alias(f"b_{c}") for c in scored.columns])
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        queries, held = left.to_pylist(), right.to_pylist()
+        queries = left.to_pylist()
+        held = right.rename_columns([c.removeprefix("b_") for c in right.column_names]).to_pylist()
         found = search_blocks(queries, held, k, block) if queries and held else (np.zeros(0, np.int64),) * 4
         return pa.table(dict(zip(("q", "query_id", "vec_id", "score"), (pa.array(x, pa.int64()) for x in found), strict=True)))
 
-    found = asked.groupBy("qs", "bs").cogroup(scored.groupBy("qs", "bs")).applyInArrow(search, _FOUND)
+    found = asked.groupBy("qs", "bs").cogroup(scored.groupBy("b_qs", "b_bs")).applyInArrow(search, _FOUND)
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -291,29 +291,22 @@ def frame_support(anchors: DataFrame, cells: DataFrame, *, window: int = 2, slac
 def template_hits(rwords: DataFrame, templates: DataFrame, *, min_len: int = 2) -> DataFrame:
     """Reuse words covered by a template, word for word on normalised forms, the longest per start.
 
-    ``templates`` is (norm ARRAY<STRING>). Words are joined on (template text) through n-grams of the
-    template lengths only.
+    ``templates`` is (norm ARRAY<STRING>). A passage's n-grams are made for every length some template has and
+    joined on their text, so no template is too long.
     """
     keyed = templates.filter(F.size("norm") >= min_len).select(
         F.array_join("norm", " ").alias("gram"), F.size("norm").alias("len")
     ).distinct()
-    lengths = [r["len"] for r in keyed.select("len").distinct().orderBy("len").limit(200).collect()]
     per = rwords.groupBy("pair_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("t", "norm"))), lambda x: x["norm"]).alias("w")
+    ).filter(F.size("w") >= min_len)
+    # a passage has no more lengths than words; only those of templates are kept
+    sized = per.withColumn("len", F.explode(F.sequence(F.lit(min_len), F.size("w")))).join(
+        keyed.select("len").distinct(), "len", "left_semi"
     )
-    def of_length(n: int) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
-        texts = F.transform(starts, lambda i: F.array_join(F.slice("w", i, n), " "))
-        return per.filter(F.size("w") >= n).select(
-            "pair_id", F.posexplode(texts).alias("a", "gram"), F.lit(n).alias("len")
-        )
-
-    grams = None
-    for n in lengths:
-        part = of_length(n)
-        grams = part if grams is None else grams.unionByName(part)
-    if grams is None:
-        return rwords.select("pair_id", "t").limit(0)
+    starts = F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)
+    texts = F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.col("len")), " "))
+    grams = sized.select("pair_id", "len", F.posexplode(texts).alias("a", "gram"))
     hits = grams.join(keyed, ["gram", "len"], "left_semi").groupBy("pair_id", "a").agg(F.max("len").alias("len"))
     return hits.select("pair_id", F.explode(F.sequence(F.col("a"), F.col("a") + F.col("len") - 1)).alias("t")).distinct()
 

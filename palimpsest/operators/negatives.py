@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
-from palimpsest.plans.lineage import hash_rank
+from palimpsest.plans.lineage import cut, hash_rank, is_empty
 
 
 def usable(cands: DataFrame, attested: DataFrame, *, min_tokens: int = 6, max_tokens: int = 60) -> DataFrame:
@@ -29,7 +29,8 @@ def author_index(corpus: DataFrame) -> DataFrame:
 
 
 def easy(rows: DataFrame, corpus: DataFrame, attested: DataFrame, *, tries: int = 4, seed: int = 0) -> DataFrame:
-    """A drawn passage of a cited author per row; up to ``tries`` draws, the first usable one wins."""
+    """A drawn passage of a cited author per row: the first usable one of ``tries`` draws. Rows whose draws all fail
+    rank all passages of the author by draw instead, so a row is left out only if none of them is usable."""
     index = author_index(corpus)
     sizes = index.groupBy("author").agg(F.max("n_author").alias("n_author"))
     drawn = (
@@ -43,12 +44,19 @@ def easy(rows: DataFrame, corpus: DataFrame, attested: DataFrame, *, tries: int
     )
     cands = drawn.join(index.select("author", "k", "pid", "txt", "n"), ["author", "k"])
     ok = usable(cands, attested)
-    return ok.groupBy("id").agg(F.min_by(F.struct("pid"), "a").alias("v")).select("id", "v.pid")
+    first = ok.groupBy("id").agg(F.min_by(F.struct("pid"), "a").alias("v")).select("id", "v.pid")
+    left = cut(rows.select("id", "author", "query_txt", "n_q").join(first, "id", "left_anti"))
+    if is_empty(left):
+        return first
+    rest = usable(left.join(index.select("author", "pid", "txt", "n"), "author"), attested)
+    drawn = F.min_by(F.struct("pid"), F.struct(tx.draw(seed, F.col("id"), F.col("pid")), F.col("pid")))
+    return first.unionByName(rest.groupBy("id").agg(drawn.alias("v")).select("id", "v.pid"))
 
 
 def lexical(rows: DataFrame, corpus: DataFrame, attested: DataFrame) -> DataFrame:
     """The passage of the cited author with most forms of the query that is not the cited one; ties to
-    the smaller pid. Distinct forms only, counts combined map-side; the join key is (author, form)."""
+    the smaller pid. Distinct forms only, counts combined map-side; the join key is (author, form). A row that
+    shares no form with any usable passage takes the author's usable passage of the smallest pid."""
     forms = corpus.select(
         "author", "pid", F.explode(F.array_distinct(F.transform("toks", lambda w: tx.normalize(w)))).alias("f")
     )
@@ -62,9 +70,14 @@ def lexical(rows: DataFrame, corpus: DataFrame, attested: DataFrame) -> DataFram
     )
     ok = usable(cands, attested)
     best = F.struct(F.col("n_shared").alias("n"), (-F.col("pid")).alias("np"))
-    return ok.groupBy("id").agg(F.max_by(F.struct("pid", "n_shared"), best).alias("v")).select(
+    found = ok.groupBy("id").agg(F.max_by(F.struct("pid", "n_shared"), best).alias("v")).select(
         "id", "v.pid", "v.n_shared"
     )
+    left = cut(rows.select("id", "author", "cited_txt", "query_txt", "n_q").join(found, "id", "left_anti"))
+    if is_empty(left):
+        return found
+    rest = usable(left.join(corpus.select("author", "pid", "txt", "n"), "author").filter("txt <> cited_txt"), attested)
+    return found.unionByName(rest.groupBy("id").agg(F.min("pid").alias("pid")).withColumn("n_shared", F.lit(0).cast("bigint")))
 
 
 def adjacent(rows: DataFrame, corpus: DataFrame, attested: DataFrame, *, seed: int = 0) -> DataFrame:

@@ -66,7 +66,6 @@ def longest_chain(values: Column) -> Column:
 
     none = F.array().cast("array<int>")
     places = F.sequence(F.lit(0), F.size(values) - 1)
-    folded = F.aggregate(places, F.struct(none.alias("tails"), none.alias("back")), step)
     # walk the back pointers from the last tail: one step per chain member
     walk = lambda st: F.aggregate(
         st["tails"],
@@ -76,7 +75,8 @@ def longest_chain(values: Column) -> Column:
             F.concat(keep, F.array(F.get(st["back"], F.element_at(keep, -1)))),
         ).otherwise(keep),
     )
-    return F.when(F.size(values) > 0, walk(folded)).otherwise(none)
+    start = F.struct(none.alias("tails"), none.alias("back"))
+    return F.when(F.size(values) > 0, F.aggregate(places, start, step, walk)).otherwise(none)
 
 
 def reordered(links: DataFrame) -> DataFrame:

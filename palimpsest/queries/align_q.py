@@ -113,12 +113,30 @@ def intersection(b: Inputs):
     return al.intersect_links(b.fwd, b.rev, 0.3)
 
 
-@query("A11_grow_diag_final_and")
+def _grow_sql(final: str) -> str:
+    word, source = "len(list_filter(w.g, lambda a: a.t=x.t))>0", "len(list_filter(w.g, lambda a: a.s=x.s))>0"
+    beside = "len(list_filter(w.g, lambda a: abs(a.t-x.t)<=1 and abs(a.s-x.s)<=1))>0"
+    used = f"({word} or {source})" if final == "and" else f"({word} and {source})"
+    am = "select b.pair_id, b.t, b.s from (select pair_id, {by}, {o}, row_number() over (partition by pair_id, {by} order by p desc, {o} desc) as k, p from {rows} where {o}>=0) b join (select pair_id, {by}, p as pn from {rows} where {o}<0) n on n.pair_id=b.pair_id and n.{by}=b.{by} where b.k=1 and b.p>n.pn"
+    f, r = am.format(by="t", o="s", rows="fwd"), am.format(by="s", o="t", rows="rev")
+    return f"""with recursive pt as materialized (select pair_id, t, s, count(*) as k from (select * from ({f}) a union all select * from ({r}) b) z group by 1,2,3),
+   one as materialized (select pair_id, t, s, row_number() over (partition by pair_id order by t, s) as i from pt where k=1),
+   w as (select pair_id, coalesce(list({{'t': t, 's': s}}) filter (k=2), []) as g, true as more from pt group by pair_id union all
+     select w.pair_id, case when c.t is not null then list_append(w.g, {{'t': c.t, 's': c.s}}) else w.g end, c.t is not null
+     from w left join lateral (select x.t, x.s from one x where x.pair_id=w.pair_id and not list_contains(w.g, {{'t': x.t, 's': x.s}}) and not ({word} and {source}) and {beside} order by x.t, x.s limit 1) c on true where w.more),
+   v as (select pair_id, 0::BIGINT as i, g from w where not more union all
+     select w.pair_id, x.i, case when list_contains(w.g, {{'t': x.t, 's': x.s}}) or {used} then w.g else list_append(w.g, {{'t': x.t, 's': x.s}}) end from v w join one x on x.pair_id=w.pair_id and x.i=w.i+1),
+   e as (select pair_id, unnest(g) as q from (select *, row_number() over (partition by pair_id order by i desc) as k from v) z where k=1)
+   select e.pair_id, q.t::INT as t, q.s::INT as s, row_number() over (partition by e.pair_id, q.t order by coalesce(f.p,0) desc, q.s desc)::INT as rank
+   from e left join fwd f on f.pair_id=e.pair_id and f.t=q.t and f.s=q.s"""
+
+
+@query("A11_grow_diag_final_and", _grow_sql("and"))
 def grow_and(b: Inputs):
     return al.grow_diag_final(b.fwd, b.rev)
 
 
-@query("A11_grow_diag_final")
+@query("A11_grow_diag_final", _grow_sql("or"))
 def grow_or(b: Inputs):
     return al.grow_diag_final(b.fwd, b.rev, final="or")
 

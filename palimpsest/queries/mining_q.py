@@ -292,13 +292,13 @@ _ACC = """with w as (select r.pair_id, r.t, coalesce(g.s,-1) as g, coalesce(p.s,
      left join rwords rn on rn.pair_id=r.pair_id and rn.t=r.t left join swords x on x.pair_id=r.pair_id and x.s=p.s)"""
 
 
-@query("M29_best_and_worst", """with w as (select r.pair_id, r.t, coalesce(g.s,-1) as g, coalesce(p.s,-1) as p, p.s is not null and x.norm<>r.norm as hard from rwords r
+@query("M29_best_and_worst", """with w as (select r.pair_id, r.t, coalesce(g.s,-1) as g, coalesce(p.s,-1) as p, g.s is not null and x.norm<>r.norm as hard from rwords r
      left join gold g on g.pair_id=r.pair_id and g.t=r.t left join pred p on p.pair_id=r.pair_id and p.t=r.t
-     left join swords x on x.pair_id=p.pair_id and x.s=p.s),
-   a as (select pair_id, avg((g=p)::INT) as acc, sum((p>=0)::INT) as links, sum(hard::INT) as hard from w group by 1 having sum((p>=0)::INT)>=3)
+     left join swords x on x.pair_id=g.pair_id and x.s=g.s),
+   a as (select pair_id, avg((g=p)::INT) as acc, sum((g>=0)::INT) as links, sum(hard::INT) as hard from w group by 1 having sum((g>=0)::INT)>=3)
    select 'worst' as side, pair_id, rank from (select pair_id, row_number() over (order by acc, links desc, pair_id) as rank from a) x where rank<=5
    union all select 'best', pair_id, rank from (select pair_id, row_number() over (order by acc desc, hard desc, links desc, pair_id) as rank from a) y where rank<=5""")
 def samples(b: Inputs):
     from palimpsest.operators import score as sc
 
-    return sc.best_and_worst(b.rwords, b.swords, gold=b.pred, pred=b.gold)
+    return sc.best_and_worst(b.rwords, b.swords, gold=b.gold, pred=b.pred)

@@ -20,7 +20,7 @@ from palimpsest.queries.registry import query
 # the gold script: the same expressions over the gold words
 for _name in ("norm_w", "clean_w", "disp", "script_w", "script_all"):
     _sql = k.CTES[_name]
-    for _a, _b in (("norm_w", "norm_g"), ("clean_w", "clean_g"), ("disp", "disp_g"), ("script_w", "script_g"), ("script_all", "script_gold"), ("words_p", "words_g"), ("pred", "gold")):
+    for _a, _b in (("norm_w", "norm_g"), ("clean_w", "clean_g"), ("disp", "disp_g"), ("script_w", "script_g"), ("script_all", "script_gold"), ("words_p", "words_g"), ("moved", "moved_g"), ("pred", "gold")):
         _sql = re.sub(rf"\b{_a}\b", _b, _sql)
     k.cte({"norm_w": "norm_g", "clean_w": "clean_g", "disp": "disp_g", "script_w": "script_g", "script_all": "script_gold"}[_name], _sql)
 
@@ -45,7 +45,7 @@ def _pred_links(b: Inputs):
 
 
 def _gold_script(b: Inputs):
-    return sc.decode_script(b.gold_words, b.swords).filter("tag <> 'REORDER'")
+    return sc.decode_script(b.gold_words, b.swords)
 
 
 _ITEM = "coalesce(g.pair_id,p.pair_id) as pair_id, (g.pair_id is not null)::INT as g, (p.pair_id is not null)::INT as p"
@@ -72,7 +72,7 @@ _TI = f"select coalesce(g.tag,p.tag) as tag, {_ITEM} from items_g g full join it
    u as (select 'alignment' as "view", '' as tag, {_CNT} from ai union all select 'typed', '', {_CNT} from ti union all select 'operation', tag, {_CNT} from ti group by tag)
    select "view", tag, tp, fp, fn, {PRF()} from u""")
 def script_metrics(b: Inputs):
-    return so.script_metrics(_gold_script(b), b.script.filter("tag <> 'REORDER'"))
+    return so.script_metrics(_gold_script(b), b.script)
 
 
 k.cte("tok_acc", """select w.pair_id, sum(case when p.s is not null then (h.pair_id is not null)::INT else 1-coalesce(g.sure,0) end)::BIGINT as "right", count(*) as total from rwords w

@@ -262,7 +262,7 @@ def reorder_counts(b: Inputs):
     return sc.reordered(b.pred).groupBy("pair_id").agg(F.count("*").alias("moved"))
 
 
-@query("G4_reorder_words")
+@query("G4_reorder_words", "select pair_id, t from moved")
 def reorder_words(b: Inputs):
     return sc.reordered(b.pred)
 
@@ -282,7 +282,20 @@ def adapt(b: Inputs):
     return sc.adapted(b.words)
 
 
-# script rows in SQL, without the REORDER markers (their identity follows the patience rule)
+# the words outside the longest chain: tails by length and the place before each place, then the walk back
+def _moved(links: str) -> str:
+    return f"""with recursive vs as (select pair_id, list(s order by t) as l, list(t order by t) as tt from ({links}) z where s>=0 group by pair_id having count(*)>=2),
+   w as (select pair_id, 0 as i, []::INT[] as tails, []::INT[] as back from vs union all
+     select w.pair_id, w.i+1, list_concat(list_append(list_slice(w.tails,1,x.kk), w.i), list_slice(w.tails, x.kk+2, len(w.tails))), list_append(w.back, case when x.kk>0 then w.tails[x.kk] else -1 end)
+     from w join vs using (pair_id), lateral (select len(list_filter(w.tails, lambda p: vs.l[p+1] < vs.l[w.i+1])) as kk) x where w.i < len(vs.l)),
+   e as (select w.* from w join vs using (pair_id) where w.i=len(vs.l)),
+   p as (select pair_id, tails[len(tails)] as at_, back from e union all select pair_id, back[at_+1], back from p where back[at_+1]>=0)
+   select v.pair_id, v.tt[k+1] as t, v.l[k+1] as s from (select *, unnest(range(len(l))) as k from vs) v where (v.pair_id, k) not in (select pair_id, at_ from p)"""
+
+
+k.cte("moved", _moved("select pair_id, t, s from pred"))
+k.cte("moved_g", _moved("select pair_id, t, s from gold"))
+# script rows in SQL
 k.cte("norm_w", """select w.* replace (case when w.s<0 then 'INS' when x.norm=w.norm or w.tag in ('COPY','NOP') then 'NOP' else w.tag end as tag) from words_p w left join swords x on x.pair_id=w.pair_id and x.s=w.s""")
 k.cte("clean_w", """with f as (select *, case when lag(fr) over v=1 and lead(fr) over v=1 then 1 else fr end as f2 from (select *, case when s>=0 then 0 else frame end as fr from norm_w) z window v as (partition by pair_id order by t)),
    r as (select *, count(*) over (partition by pair_id, g) as n, min(t) over (partition by pair_id, g) as a from (select pair_id, t, t-row_number() over (partition by pair_id order by t) as g from f where f2=1) y)
@@ -292,6 +305,7 @@ k.cte("script_w", f"""with q as ({_quote('clean_w', 4)}),
    select pair_id, act as tag, array_to_string(list_filter(list(s order by t), lambda i: i>=0),',') as src, array_to_string(list(t order by t),',') as tgt from x group by pair_id, at_, act""")
 k.cte("script_all", f"""select pair_id, tag, src, tgt from script_w union all
    select pair_id, 'DEL', s::VARCHAR, '' from swords where (pair_id, s) not in (select pair_id, s from pred) union all
+   select pair_id, 'REORDER', s::VARCHAR, '' from moved union all
    select pair_id, 'ADAPT', array_to_string(list(s order by t),','), '' from (select pair_id, t, s, blk, sum((tag in {SUB})::INT) over (partition by pair_id, blk) as n from (select *, sum(nw) over (partition by pair_id order by t rows unbounded preceding) as blk from (
      select *, case when t-lag(t) over (partition by pair_id order by t)<=2 then 0 else 1 end as nw from clean_w where s>=0) x) y) z where n>=2 group by pair_id, blk union all
    select pair_id, 'DISPERSE', array_to_string(list(s order by t),','), '' from pred where pair_id in (select pair_id from disp) group by pair_id""")
@@ -300,13 +314,14 @@ k.cte("script_all", f"""select pair_id, tag, src, tgt from script_w union all
 @query("G7_script_rows", "select pair_id, tag, src, tgt from script_all")
 def script_rows(b: Inputs):
     idx = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
-    return b.script.filter("tag <> 'REORDER'").select("pair_id", "tag", idx("src").alias("src"), idx("tgt").alias("tgt"))
+    return b.script.select("pair_id", "tag", idx("src").alias("src"), idx("tgt").alias("tgt"))
 
 
 @query("G8_per_word_view", f"""with q as ({_quote('clean_w', 4)}) select w.pair_id, w.t, case when w.fa is not null then 'INS' else w.tag end as tag, case when w.fa is not null then -1 else w.s end as link,
-   w.fa is not null as frame, q.a is not null as quote from clean_w w left join q on q.pair_id=w.pair_id and w.t between q.a and q.b""")
+   w.fa is not null as frame, q.a is not null as quote, w.fa is null and m.t is not null as reorder
+   from clean_w w left join q on q.pair_id=w.pair_id and w.t between q.a and q.b left join moved m on m.pair_id=w.pair_id and m.t=w.t""")
 def view(b: Inputs):
-    return sc.per_word_view(b.script, b.rwords).drop("reorder")
+    return sc.per_word_view(b.script, b.rwords)
 
 
 @query("G9_planned_script")
@@ -326,12 +341,12 @@ def _plan(b: Inputs):
 
 @query("G10_op_counts", "select pair_id, tag, count(*) as n from script_all group by 1,2")
 def op_counts(b: Inputs):
-    return sc.op_counts(b.script.filter("tag <> 'REORDER'"))
+    return sc.op_counts(b.script)
 
 
 @query("G10_costs", f"""select p.pair_id, round(c,6) as cost, round(c/greatest(n_s,n_r,1),6) as normalized from pairs p join (select pair_id, sum({COST}) as c from script_all group by 1) z using(pair_id)""")
 def costs(b: Inputs):
-    return sc.costs(b.script.filter("tag <> 'REORDER'"), b.pairs).select("pair_id", F.round("cost", 6).alias("cost"), F.round("normalized", 6).alias("normalized"))
+    return sc.costs(b.script, b.pairs).select("pair_id", F.round("cost", 6).alias("cost"), F.round("normalized", 6).alias("normalized"))
 
 
 _INV = "case tag when 'HYPER' then 'HYPO' when 'HYPO' then 'HYPER' when 'INS' then 'DEL' when 'DEL' then 'INS' when 'SPLIT' then 'MERGE' when 'MERGE' then 'SPLIT' else tag end"
@@ -340,17 +355,17 @@ _INV = "case tag when 'HYPER' then 'HYPO' when 'HYPO' then 'HYPER' when 'INS' th
 @query("G11_inverted_script", f"select pair_id, {_INV} as tag, tgt as src, src as tgt from script_all")
 def inverted(b: Inputs):
     idx = lambda c: F.array_join(F.transform(c, lambda i: i.cast("string")), ",")
-    return sc.invert(b.script.filter("tag <> 'REORDER'")).select("pair_id", "tag", idx("src").alias("src"), idx("tgt").alias("tgt"))
+    return sc.invert(b.script).select("pair_id", "tag", idx("src").alias("src"), idx("tgt").alias("tgt"))
 
 
-_CONS = """select pair_id, (unnest(string_split(src,',')))::INT as i from script_all where src<>'' and tag not in ('ADAPT','DISPERSE')"""
+_CONS = """select pair_id, (unnest(string_split(src,',')))::INT as i from script_all where src<>'' and tag not in ('REORDER','ADAPT','DISPERSE')"""
 
 
 @query("G12_script_problems", f"""with d as (select 'dup' as v, pair_id, tag, src, tgt from script_all union all select 'dup', pair_id, tag, src, tgt from script_all where tag='NOP')
-   select pair_id, 'consumed twice' as problem, i from (select pair_id, (unnest(string_split(src,',')))::INT as i from d where src<>'' and tag not in ('ADAPT','DISPERSE')) a group by 1,3 having count(*)>1
-   union all select pair_id, 'written twice', i from (select pair_id, (unnest(string_split(tgt,',')))::INT as i from d where tgt<>'' and tag not in ('ADAPT','DISPERSE')) b group by 1,3 having count(*)>1""")
+   select pair_id, 'consumed twice' as problem, i from (select pair_id, (unnest(string_split(src,',')))::INT as i from d where src<>'' and tag not in ('REORDER','ADAPT','DISPERSE')) a group by 1,3 having count(*)>1
+   union all select pair_id, 'written twice', i from (select pair_id, (unnest(string_split(tgt,',')))::INT as i from d where tgt<>'' and tag not in ('REORDER','ADAPT','DISPERSE')) b group by 1,3 having count(*)>1""")
 def script_problems(b: Inputs):
-    s = b.script.filter("tag <> 'REORDER'")
+    s = b.script
     return sc.problems(s.unionByName(s.filter("tag = 'NOP'")), b.pairs)
 
 
@@ -370,7 +385,7 @@ def serialise(b: Inputs):
 @query("G15_cost_density", f"""select p.pair_id, round(c/greatest(n_s, n_r-w, 1),6) as density from pairs p join (select pair_id, sum(case when tag='FRAME' then 0 else {COST} end) as c,
    sum(case when tag='FRAME' then len(string_split(tgt,',')) else 0 end) as w from script_all group by 1) z using(pair_id)""")
 def density(b: Inputs):
-    return sc.cost_density(b.script.filter("tag <> 'REORDER'"), b.pairs).withColumn("density", F.round("density", 6))
+    return sc.cost_density(b.script, b.pairs).withColumn("density", F.round("density", 6))
 
 
 k.cte("posn", "select r.pair_id, sum((x.norm is not null)::INT) as nop, count(*) as n from rwords r left join swords x on x.pair_id=r.pair_id and x.s=r.t and x.norm=r.norm group by 1")
@@ -381,7 +396,7 @@ k.cte("posn", "select r.pair_id, sum((x.norm is not null)::INT) as nop, count(*)
    from pairs p join (select pair_id, count(*) as n_operations, sum((tag not in ('NOP','INS','DEL','REORDER','ADAPT','DISPERSE','QUOTE'))::INT) as n_substitutions,
      sum((tag='NOP')::INT) as nop, sum((tag='INS')::INT) as ins, sum((tag='DEL')::INT) as del_ from script_all group by 1) z using(pair_id) join posn q using(pair_id)""")
 def difficulty(b: Inputs):
-    return sc.difficulty(b.script.filter("tag <> 'REORDER'"), b.pairs).withColumn("overlap", F.round("overlap", 6))
+    return sc.difficulty(b.script, b.pairs).withColumn("overlap", F.round("overlap", 6))
 
 
 @query("G17_trivial_scripts", """select 'copy_only' as method, pair_id, 'NOP' as tag, i as s, i as t from (select pair_id, unnest(range(least(n_s,n_r)))::INT as i from pairs) a

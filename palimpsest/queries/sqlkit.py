@@ -175,8 +175,8 @@ cte("lexicon", """select lemma, pos, unnest(['synonyms','hypernyms','hyponyms','
    unnest([synonyms,hypernyms,hyponyms,antonyms,derivatives]) as other from lex0""")
 cte("lex", "select * from lexicon where other is not null")
 cte("vectors", f"""select lemma, embedding::DOUBLE[] as vec from (
-   select lemma, {bucket(550,'lemma')} as vid from (select distinct {lemma('norm')} as lemma from all_tok) z where lemma is not null) y
-   join embeddings e on e.vec_id=y.vid where vid<500""")
+   select lemma, {bucket("(select greatest(1, count(*)*11//10) from embeddings)",'lemma')} as vid from (select distinct {lemma('norm')} as lemma from all_tok) z where lemma is not null) y
+   join embeddings e on e.vec_id=y.vid""")
 
 _EXC = "('quoque','denique','neque','atque','usque','itaque','namque','undique')"
 cte("names", r"""select form, count(*) as n from (select regexp_replace(surface,'[^\p{L}]','','g') as form from all_tok where side='s' and i>0) z

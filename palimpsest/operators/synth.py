@@ -10,8 +10,10 @@ from palimpsest.functions import text as tx
 from palimpsest.plans.lineage import hash_rank
 
 # How often each change is drawn, and the structural ones that need no lexicon.
-WEIGHTS = {"MORPH": 0.22, "SYN": 0.16, "HYPER": 0.06, "HYPO": 0.06, "SYN-DIST": 0.08, "DEL": 0.12, "REORDER": 0.12, "INS": 0.12, "NE-SUB": 0.03, "ANT": 0.03}
-STRUCTURAL = ("INS", "DEL", "REORDER")
+WEIGHTS = {
+    "MORPH": 0.30, "SYN": 0.20, "SYN-DIST": 0.10, "HYPER": 0.06, "HYPO": 0.04, "DEL": 0.12, "INS": 0.12, "NE-SUB": 0.03, "ANT": 0.03,
+}
+STRUCTURAL = ("INS", "DEL")
 # Spelling alternations that keep the spelling key.
 SPELLING_RULES = (
     ("ae", "e"), ("e", "ae"), ("oe", "e"), ("i", "y"), ("nt", "mpt"), ("mpt", "nt"), ("f", "ph"), ("ph", "f"),
@@ -45,20 +47,28 @@ def substitutes(vocabulary: DataFrame, lexicon: DataFrame, attested: DataFrame)
     return rel.unionByName(morph).unionByName(sibling).groupBy("lemma", "tag").agg(F.min("form").alias("form"))
 
 
-def generate(seeds: DataFrame, subs: DataFrame, *, variants: int = 4, seed: int = 42) -> DataFrame:
+def generate(seeds: DataFrame, subs: DataFrame, weights: dict[str, float], *, variants: int = 4, seed: int = 42) -> DataFrame:
     """Script-first pairs: 1 to 5 drawn places per variant, each deleted, followed by an insertion, or replaced
-    by a word a relation attests; other words are kept. ``seeds`` is (pid, toks). Rows are edits
-    (pid, v, i, tag, word, new), one per source word, in source order."""
+    by a word a relation attests, as drawn by ``weights``; other words are kept, and so is a word without a
+    substitute. ``seeds`` is (pid, toks). Rows are edits (pid, v, i, tag, word, new, ins), one per source word, in
+    source order; ``ins`` is the inserted word, drawn from the passage."""
     x = seeds.select("pid", "toks", F.size("toks").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(variants))).alias("v"))
     x = x.withColumn("k", tx.bucket_draw(5, seed, F.col("pid"), F.col("v"), "k") + 1)
-    words = x.select("pid", "v", "k", F.posexplode("toks").alias("i", "word")).withColumn("o", tx.draw(seed, F.col("pid"), F.col("v"), F.col("i")))
+    words = x.select("pid", "v", "k", "toks", F.posexplode("toks").alias("i", "word")).withColumn("o", tx.draw(seed, F.col("pid"), F.col("v"), F.col("i")))
     ranked = words.withColumn("r", F.row_number().over(W.partitionBy("pid", "v").orderBy("o")))
-    kind = tx.bucket_draw(10, seed, F.col("pid"), F.col("v"), F.col("i"), "tag")
-    want = F.when(F.col("r") <= F.col("k"), F.when(kind == 0, "DEL").when(kind == 1, "INS").when(kind <= 4, "MORPH").when(kind <= 7, "SYN").when(kind == 8, "HYPER").otherwise("ANT"))
+    u = tx.unit_draw(seed, F.col("pid"), F.col("v"), F.col("i"), "tag")
+    *tags, final = [t for t in WEIGHTS if t in weights]
+    kind, upto = F.lit(final), sum(weights[t] for t in tags)
+    for t in reversed(tags):
+        kind = F.when(u < upto, t).otherwise(kind)
+        upto -= weights[t]
+    want = F.when(F.col("r") <= F.col("k"), kind)
+    at = F.floor(tx.unit_draw(seed, F.col("pid"), F.col("v"), F.col("i"), "ins") * F.size("toks")).cast("int")
+    ranked = ranked.withColumn("ins", F.get("toks", at)).drop("toks")
     y = ranked.withColumn("want", want).withColumn("lemma", tx.lemma_standin(tx.normalize(F.col("word"))))
     z = y.join(subs.withColumnRenamed("tag", "want"), ["lemma", "want"], "left")
     tag = F.when(F.col("want").isin("DEL", "INS"), F.col("want")).when(F.col("form").isNotNull() & (F.col("form") != tx.normalize(F.col("word"))), F.col("want")).otherwise("NOP")
-    return z.select("pid", "v", "i", tag.alias("tag"), "word", F.when(tag.isin("NOP", "INS"), F.col("word")).when(tag == "DEL", F.lit(None)).otherwise(F.col("form")).alias("new"))
+    return z.select("pid", "v", "i", tag.alias("tag"), "word", F.when(tag.isin("NOP", "INS"), F.col("word")).when(tag == "DEL", F.lit(None)).otherwise(F.col("form")).alias("new"), F.when(tag == "INS", F.col("ins")).alias("ins"))
 
 
 def apply_edits(edits: DataFrame) -> DataFrame:
@@ -68,12 +78,23 @@ def apply_edits(edits: DataFrame) -> DataFrame:
     return edits.withColumn("w", width).withColumn("t", (F.sum("w").over(w) - F.col("w")).cast("int"))
 
 
+def variant_words(placed: DataFrame) -> DataFrame:
+    """The words of every variant at their places: (pid, v, t, word)."""
+    return placed.filter("w > 0").select(
+        "pid", "v", F.col("t").alias("_t"), F.posexplode(F.filter(F.array("new", "ins"), lambda x: x.isNotNull())).alias("_k", "word")
+    ).select("pid", "v", (F.col("_t") + F.col("_k")).cast("int").alias("t"), "word")
+
+
 def variants_replay(placed: DataFrame) -> DataFrame:
-    """(pid, v, ok, n_t): every target place of a variant is written exactly once."""
-    places = placed.filter("w > 0").select("pid", "v", F.explode(F.sequence("t", F.col("t") + F.col("w") - 1)).alias("t"))
-    return places.groupBy("pid", "v").agg(
-        ((F.count("*") == F.count_distinct("t")) & (F.max("t") + 1 == F.count("*")) & (F.min("t") == 0)).alias("ok"), F.count("*").alias("n_t")
+    """(pid, v, ok, n_t): every target place of a variant is written exactly once, and read in order of places the
+    words are those that the edits write in order of the source."""
+    read = variant_words(placed).groupBy("pid", "v").agg(
+        ((F.count("*") == F.count_distinct("t")) & (F.max("t") + 1 == F.count("*")) & (F.min("t") == 0)).alias("once"), F.count("*").alias("n_t"),
+        F.transform(F.array_sort(F.collect_list(F.struct("t", "word"))), lambda x: x["word"]).alias("read"),
     )
+    said = F.transform(F.array_sort(F.collect_list(F.struct("i", "new", "ins"))), lambda x: F.array(x["new"], x["ins"]))
+    script = placed.groupBy("pid", "v").agg(F.filter(F.flatten(said), lambda x: x.isNotNull()).alias("said"))
+    return read.join(script, ["pid", "v"]).select("pid", "v", (F.col("once") & (F.col("read") == F.col("said"))).alias("ok"), "n_t")
 
 
 def spelling_variants(words: DataFrame, attested: DataFrame, *, seed: int = 1) -> DataFrame:

@@ -30,19 +30,29 @@ def _subs(b: Inputs):
 
 
 _B = lambda n, e: k.bucket(n, e)
-k.cte("edits", f"""with w as (select pid, v, i, word, {_B(5, "'42|'||pid||'|'||v||'|k'")}+1 as kk, row_number() over (partition by pid, v order by md5('42|'||pid||'|'||v||'|'||i)) as r, {_B(10, "'42|'||pid||'|'||v||'|'||i||'|tag'")} as kind
-     from (select pid, surface as word, i, unnest([1,2,3,4]) as v from all_tok where side='s') a),
-   y as (select *, case when r<=kk then case when kind=0 then 'DEL' when kind=1 then 'INS' when kind<=4 then 'MORPH' when kind<=7 then 'SYN' when kind=8 then 'HYPER' else 'ANT' end end as want, {k.norm('word')} as norm from w)
-   select pid, v, i::INT as i, word, case when want in ('DEL','INS') then want when s.form is not null and s.form<>y.norm then want else 'NOP' end as tag, s.form from y left join subs s on s.lemma={_LEM} and s.tag=y.want""")
+_WTS = ", ".join(f"({o}, '{t}', {w}, {t in sy.STRUCTURAL})" for o, (t, w) in enumerate(sy.WEIGHTS.items()))
+k.cte("wts", f"""with a as (select * from (values {_WTS}) z(o, tag, w, st)), kept as (select * from a where st or tag in (select tag from subs)),
+   c as (select *, case when st then w else w*(select sum(w) from a where not st)/(select sum(w) from kept where not st) end as w2 from kept),
+   d as (select o, tag, w2/(select sum(w2) from c) as weight from c), e as (select *, sum(weight) over (order by o) as hi, row_number() over (order by o desc) as last from d)
+   select tag, weight, hi-weight as lo, case when last=1 then 2 else hi end as hi from e""")
+k.cte("edits", f"""with w as (select pid, v, i, word, {_B(5, "'42|'||pid||'|'||v||'|k'")}+1 as kk, row_number() over (partition by pid, v order by md5('42|'||pid||'|'||v||'|'||i)) as r, {k.udraw("'42|'||pid||'|'||v||'|'||i||'|tag'")} as kind, p.toks[1+floor({k.udraw("'42|'||pid||'|'||v||'|'||i||'|ins'")}*len(p.toks))::INT] as ins
+     from (select pid, surface as word, i, unnest([1,2,3,4]) as v from all_tok where side='s') a join (select pid, toks from src_p) p using(pid)),
+   y as (select *, case when r<=kk then wts.tag end as want, {k.norm('word')} as norm from w join wts on kind>=lo and kind<hi)
+   select pid, v, i::INT as i, word, case when want in ('DEL','INS') then want when s.form is not null and s.form<>y.norm then want else 'NOP' end as tag, s.form, case when want='INS' then ins end as ins from y left join subs s on s.lemma={_LEM} and s.tag=y.want""")
 
 
 def _edits(b: Inputs):
-    return sy.generate(b.src.select("pid", "toks"), _subs(b))
+    return sy.generate(b.src.select("pid", "toks"), _subs(b), _weights(b))
 
 
-@query("N1_script_first_edits", "select pid, v, i, tag, case when tag in ('NOP','INS') then word when tag='DEL' then null else form end as new from edits")
+def _weights(b: Inputs) -> dict[str, float]:
+    have = {r["tag"] for r in _subs(b).select("tag").distinct().collect()}  # a handful of relation tags
+    return sy.usable_weights(sy.WEIGHTS, have)
+
+
+@query("N1_script_first_edits", "select pid, v, i, tag, case when tag in ('NOP','INS') then word when tag='DEL' then null else form end as new, ins from edits")
 def edits(b: Inputs):
-    return _edits(b).select("pid", "v", "i", "tag", "new")
+    return _edits(b).select("pid", "v", "i", "tag", "new", "ins")
 
 
 @query("N1_yield_report", "select tag, count(*) as n from edits group by 1")
@@ -50,11 +60,16 @@ def yield_report(b: Inputs):
     return _edits(b).groupBy("tag").agg(F.count("*").alias("n"))
 
 
-@query("N2_usable_weights")
+@query("N2_usable_weights", "select tag, n, round(weight,6)::DOUBLE as weight from (select tag, count(*) as n from edits group by 1) e left join wts using(tag)")
 def weights(b: Inputs):
-    have = {r["tag"] for r in _subs(b).select("tag").distinct().collect()}
-    w = sy.usable_weights(sy.WEIGHTS, have)
-    return _edits(b).groupBy("tag").agg(F.count("*").alias("n")).withColumn("weight", F.create_map(*[F.lit(x) for kv in w.items() for x in kv])[F.col("tag")])
+    w = F.create_map(*[F.lit(x) for kv in _weights(b).items() for x in kv])
+    return _edits(b).groupBy("tag").agg(F.count("*").alias("n")).withColumn("weight", F.round(F.try_element_at(w, F.col("tag")), 6))
+
+
+@query("N4_variant_words", """with x as (select *, (sum(w) over (partition by pid, v order by i rows unbounded preceding)-w)::INT as t from (select *, case tag when 'DEL' then 0 when 'INS' then 2 else 1 end as w from edits) z)
+   select pid, v, t, case when tag in ('NOP','INS') then word else form end as word from x where tag<>'DEL' union all select pid, v, t+1, ins from x where tag='INS'""")
+def variant_words(b: Inputs):
+    return sy.variant_words(sy.apply_edits(_edits(b)))
 
 
 @query("N3_cheaper_script")

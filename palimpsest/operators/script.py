@@ -194,13 +194,18 @@ def problems(script: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def replays(script: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(pair_id, ok): the script is sound and writes exactly the reuse passage."""
+    """(pair_id, ok): the script is sound, writes every word of the reuse passage once, and what it copies from the
+    source (single copies and quotes) is what the passage says there."""
     bad = problems(script, pairs).select("pair_id").distinct().withColumn("bad", F.lit(True))
     wrote = script.filter(lb.lookup("role", F.col("tag")) == "w").select("pair_id", F.explode("tgt").alias("t"))
     n = wrote.groupBy("pair_id").agg(F.count_distinct("t").alias("n_wrote"))
-    return pairs.select("pair_id", "n_r").join(n, "pair_id", "left").join(bad, "pair_id", "left").select(
-        "pair_id", (F.col("bad").isNull() & (F.coalesce("n_wrote", F.lit(0)) == F.col("n_r"))).alias("ok")
-    )
+    copied = script.filter(F.col("tag").isin("NOP", "QUOTE")).select("pair_id", F.explode(F.arrays_zip("src", "tgt")).alias("c"))
+    said = copied.join(pairs.select("pair_id", "s_norm", "r_norm"), "pair_id")
+    other = said.filter(~F.get("s_norm", F.col("c.src")).eqNullSafe(F.get("r_norm", F.col("c.tgt"))))
+    other = other.select("pair_id").distinct().withColumn("other", F.lit(True))
+    whole = pairs.select("pair_id", "n_r").join(n, "pair_id", "left").join(bad, "pair_id", "left").join(other, "pair_id", "left")
+    ok = F.col("bad").isNull() & F.col("other").isNull() & (F.coalesce("n_wrote", F.lit(0)) == F.col("n_r"))
+    return whole.select("pair_id", ok.alias("ok"))
 
 
 def serialise(script: DataFrame, pairs: DataFrame) -> DataFrame:

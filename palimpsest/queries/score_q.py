@@ -172,9 +172,7 @@ def reorder_score(b: Inputs):
     return so.with_prf(so.compare_sets(sc.reordered(b.gold), sc.reordered(b.pred), ["pair_id", "t"]))
 
 
-@query("C8_replay_rate", f"""with t as (select pair_id, count(*) as n, count(distinct i) as d from (select pair_id, (unnest(string_split(tgt,',')))::INT as i from script_all where tgt<>'') a group by 1),
-   c as (select pair_id, count(*)=count(distinct i) as ok from ({script_q._CONS}) q group by 1)
-   select round(avg((t.n=p.n_r and t.d=t.n and coalesce(c.ok,true))::INT),6) as rate, count(*) as n from pairs p join t using(pair_id) left join c on c.pair_id=p.pair_id""")
+@query("C8_replay_rate", script_q.replay_sql("select round(avg(ok::INT),6) as rate, count(*) as n from v"))
 def replay_rate(b: Inputs):
     return sc.replays(b.script, b.pairs).agg(F.round(F.avg(F.col("ok").cast("double")), 6).alias("rate"), F.count("*").alias("n"))
 

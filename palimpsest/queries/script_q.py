@@ -369,13 +369,28 @@ def script_problems(b: Inputs):
     return sc.problems(s.unionByName(s.filter("tag = 'NOP'")), b.pairs)
 
 
-@query("G13_replays", f"""with t as (select pair_id, count(*) as n, count(distinct i) as d from (select pair_id, (unnest(string_split(tgt,',')))::INT as i from script_all where tgt<>'') a group by 1),
-   c as (select pair_id, count(*)=count(distinct i) as ok from ({_CONS}) q group by 1)
-   select p.pair_id, t.n=p.n_r and t.d=t.n and coalesce(c.ok,true) as ok from pairs p join t using(pair_id) left join c on c.pair_id=p.pair_id""")
+def replay_sql(select: str, norm: str = "r.norm") -> str:
+    """Soundness, full coverage, and copied words that the passage holds (``norm`` is the passage's word)."""
+    return f"""with t as (select pair_id, count(*) as n, count(distinct i) as d from (select pair_id, (unnest(string_split(tgt,',')))::INT as i from script_all where tgt<>'') a group by 1),
+   c as (select pair_id, count(*)=count(distinct i) as ok from ({_CONS}) q group by 1),
+   o as (select distinct x.pair_id from (select pair_id, unnest(string_split(src,','))::INT as s, unnest(string_split(tgt,','))::INT as t from script_all where tag in ('NOP','QUOTE')) x
+     join swords s on s.pair_id=x.pair_id and s.s=x.s join rwords r on r.pair_id=x.pair_id and r.t=x.t where s.norm<>{norm}),
+   v as (select p.pair_id, t.n=p.n_r and t.d=t.n and coalesce(c.ok,true) and o.pair_id is null as ok from pairs p join t using(pair_id) left join c on c.pair_id=p.pair_id left join o on o.pair_id=p.pair_id)
+   {select}"""
+
+
+@query("G13_replays", replay_sql("select pair_id, ok from v"))
 def replay(b: Inputs):
     return sc.replays(b.script, b.pairs)
 
 
+@query("G13_replays_altered", replay_sql("select pair_id, ok from v", "case when r.t=0 then r.norm||'x' else r.norm end"))
+def replay_altered(b: Inputs):
+    """The first word of every passage altered: a script that copies it no longer replays."""
+    first = lambda w, i: F.when(i == 0, F.concat(w, F.lit("x"))).otherwise(w)
+    return sc.replays(b.script, b.pairs.withColumn("r_norm", F.transform("r_norm", first)))
+
+
 @query("G14_serialise_parse")
 def serialise(b: Inputs):
     back = sc.parse(sc.serialise(b.script, b.pairs))

@@ -52,9 +52,12 @@ def test_script_replays_and_inverts(spark):
     src, toks = "arma uirum cano te".split(), "ut ait arma uirumque cano".split()
     w = table(spark, "p", 4, {2: 0, 3: 1, 4: 2}, toks, tags={2: "NOP", 3: "MORPH", 4: "NOP"}, frame=(0, 1))
     s = sources(spark, "p", src)
-    pairs = spark.createDataFrame([("p", 4, 5, toks)], "pair_id string, n_s int, n_r int, r_tok array<string>")
+    schema = "pair_id string, n_s int, n_r int, r_tok array<string>, s_norm array<string>, r_norm array<string>"
+    pairs = spark.createDataFrame([("p", 4, 5, toks, src, toks)], schema)
     script = sc.decode_script(w, s).cache()
     assert sc.replays(script, pairs).first()["ok"]
+    altered = spark.createDataFrame([("p", 4, 5, toks, src, [*toks[:4], "canit"])], schema)
+    assert not sc.replays(script, altered).first()["ok"]
     twice = sc.invert(sc.invert(script))
     assert sorted(map(str, twice.collect())) == sorted(map(str, script.select(*twice.columns).collect()))
     back = sc.parse(sc.serialise(script, pairs))

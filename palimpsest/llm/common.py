@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +20,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that Spark hands to a Python worker at a time.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches have been limited to ``BATCH_BYTES`` (Spark's own limit is 64 MB, of
+    which the JVM and the worker each hold copies). This changes how rows travel, never what comes out."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = re.match(r"\d+", conf.get(name))
+    if conf.get(name).endswith("b") and held and not 0 < int(held[0]) <= BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
+
+
 def held_out(doc_id: Column, of: int, remainder: int = 2) -> Column:
     """crc32 of the id written as text, modulo ``of``, equals ``remainder``; a null id counts as the text ''."""
     crc = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
     return crc % F.lit(of) == F.lit(remainder)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose ``column`` holds about ``most`` bytes (one row at least), so that the
     Python objects made of a slice stay small whatever the lengths of the texts are."""
     for batch in batches:

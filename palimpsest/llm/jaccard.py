@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Words, mix64, slices
-from palimpsest.plans.lineage import cut, fits, is_empty
+from palimpsest.llm.common import Words, bounded_batches, mix64, slices
+from palimpsest.plans.lineage import BROADCAST_ROWS, cut, fits, is_empty
 
 #: Counters of the global order: 4 MB, whatever the table holds.
 COUNTERS = 1 << 20
@@ -40,7 +40,11 @@ PACK_GROUPS = 4096
 BLOCK = 2048
 CROSS_POSTINGS = 50_000
 #: Rounds with hubs before the last one.
-ROUNDS = 3
+ROUNDS = 2
+#: Text that a task takes apart at a time.
+TEXT_BYTES = 2 << 20
+#: Pairs up to which their bitmaps are sent to every task.
+FEW = 50_000
 
 
 def min_overlap(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -72,7 +76,7 @@ def _summed(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
+    return bounded_batches(docs).selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
 
 
 # ---- the global order ------------------------------------------------------------------------
@@ -84,7 +88,7 @@ def shingle_counts(source: DataFrame, width: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             hashes, _ = sets_of(batch.column("text"), width)
             counts += np.bincount((hashes >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
         part = TaskContext.get().partitionId() % 256
@@ -120,7 +124,7 @@ def document_sets(source: DataFrame, counts, width: int, num: int, den: int, pre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             hashes, first = sets_of(batch.column("text"), width)
             n = np.diff(first)
             text = np.repeat(np.arange(len(n)), n)
@@ -141,21 +145,31 @@ def document_sets(source: DataFrame, counts, width: int, num: int, den: int, pre
             else:
                 out["d1"] = pa.array(_summed(mix64(hashes + np.uint64(1)), first).view(np.int64))
                 out["d2"] = pa.array(_summed(mix64(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first).view(np.int64))
-                bit = text * BITS + (mix64(hashes + np.uint64(77)) >> np.uint64(64 - 11)).astype(np.int64)
-                odd = (np.bincount(bit, minlength=len(n) * BITS) & 1).astype(np.uint8)
-                maps = np.packbits(odd.reshape(len(n), BITS), axis=1, bitorder="little")
-                out["bitmap"] = pa.array([m.tobytes() for m in maps], pa.binary())
+                out["bitmap"] = pa.array(_bitmaps(hashes, first), pa.binary())
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     kept = "prefix binary" if prefixes else "d1 bigint, d2 bigint, bitmap binary"
     return source.mapInArrow(run, f"doc_id bigint, n bigint, p1 bigint, p2 bigint, {kept}")
 
 
+def _bitmaps(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """A parity bitmap of every text's set, some hundred texts at a time."""
+    out = []
+    for at in range(0, len(first) - 1, 256):
+        cuts = first[at: at + 257]
+        n = len(cuts) - 1
+        text = np.repeat(np.arange(n), np.diff(cuts))
+        bit = text * BITS + (mix64(hashes[cuts[0]: cuts[-1]] + np.uint64(77)) >> np.uint64(64 - 11)).astype(np.int64)
+        odd = (np.bincount(bit, minlength=n * BITS) & 1).astype(np.uint8)
+        out += [m.tobytes() for m in np.packbits(odd.reshape(n, BITS), axis=1, bitorder="little")]
+    return out
+
+
 # ---- posting lists -------------------------------------------------------------------------------
 
 
 _PACK = "bucket int, token binary, of binary, place binary, v binary, n binary"
-_POSTING = "token bigint, v bigint, place bigint"
+_POSTING = "token bigint, v bigint, n bigint, place bigint"
 
 
 def packed_postings(groups: DataFrame, n_buckets: int) -> DataFrame:
@@ -206,25 +220,26 @@ def packed_postings(groups: DataFrame, n_buckets: int) -> DataFrame:
 
 
 def shared_postings(packs: DataFrame, n_buckets: int) -> DataFrame:
-    """(token, v, place): the postings of shingles that at least two groups have."""
+    """(token, v, n, place): the postings of shingles that at least two groups have."""
 
     def find(rows: pa.Table) -> pa.Table:
-        token, v, place = [], [], []
+        token, v, n, place = [], [], [], []
         for r in rows.to_pylist():
             of = np.frombuffer(r["of"], "<u2")
             token.append(np.frombuffer(r["token"], "<u8"))
             v.append(np.frombuffer(r["v"], "<i8")[of])
+            n.append(np.frombuffer(r["n"], "<i4")[of])
             place.append(np.frombuffer(r["place"], "<i4"))
-        token, v, place = (np.concatenate(x) for x in (token, v, place))
+        token, v, n, place = (np.concatenate(x) for x in (token, v, n, place))
         if rows.column("bucket")[0].as_py() < n_buckets:
             order = np.argsort(token, kind="stable")
-            token, v, place = token[order], v[order], place[order]
+            token, v, n, place = token[order], v[order], n[order], place[order]
             start = np.flatnonzero(np.diff(token, prepend=token[0] ^ np.uint64(1)))
             size = np.diff([*start, len(token)])
             shared = (size > 1) | (np.minimum.reduceat(place, start) < 0)
             keep = np.repeat(shared, size) & (place >= 0)
-            token, v, place = token[keep], v[keep], place[keep]
-        return pa.table({"token": token.view(np.int64), "v": v, "place": place.astype(np.int64)})
+            token, v, n, place = token[keep], v[keep], n[keep], place[keep]
+        return pa.table({"token": token.view(np.int64), "v": v, "n": n.astype(np.int64), "place": place.astype(np.int64)})
 
     return packs.groupBy("bucket").applyInArrow(find, _POSTING)
 
@@ -311,8 +326,8 @@ def cross_pairs(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataF
             def settle() -> None:
                 a, b = _distinct(*(np.concatenate([x[k] for x in waiting]) for k in (0, 1)))
                 waiting.clear()
-                for at in range(0, len(a), 1 << 18):
-                    x, y = a[at: at + (1 << 18)], b[at: at + (1 << 18)]
+                for at in range(0, len(a), 1 << 15):
+                    x, y = a[at: at + (1 << 15)], b[at: at + (1 << 15)]
                     ok = bitmaps_allow(maps[x], maps[y], n_of[x], n_of[y], num, den)
                     found.append((x[ok], y[ok]))
 
@@ -326,7 +341,7 @@ def cross_pairs(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataF
                 ok &= possible(n[a], place[a], n[b], place[b], num, den)
                 a, b = row[a[ok]], row[b[ok]]
                 waiting.append((np.minimum(a, b), np.maximum(a, b)))
-                if sum(len(x) for x, _ in waiting) > 2_000_000:
+                if sum(len(x) for x, _ in waiting) > 500_000:
                     settle()
             if waiting:
                 settle()
@@ -342,6 +357,8 @@ def cross_pairs(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataF
 
 
 def bitmap_filter(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (kept in the shared folder) whose bitmaps do not rule a link out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -349,45 +366,51 @@ def bitmap_filter(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Dat
                 ok = bitmaps_allow(_maps(batch.column("ma")), _maps(batch.column("mb")), na, nb, num, den)
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    left = nodes.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
-    right = nodes.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    few = fits(pairs, FEW)
+    near = cut(nodes.select("v", "n", "bitmap").join(F.broadcast(ends) if few else ends, "v", "left_semi"))
+    left = near.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
+    right = near.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
+    if few:  # at most twice as many bitmaps of 256 bytes
+        left, right = F.broadcast(left), F.broadcast(right)
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
 
 
 def whole_sets(source: DataFrame, needed: DataFrame, width: int) -> DataFrame:
-    """(v, n, d1, members): the whole sets of the documents with the ``needed`` ids, packed, ascending."""
+    """(v, sets): the whole sets of the documents with the ``needed`` ids. An id that repeats with several texts has
+    several."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             hashes, first = sets_of(batch.column("text"), width)
-            held = [hashes[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            d1 = _summed(mix64(hashes + np.uint64(1)), first).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(d1), pa.array(held, pa.binary())], ["v", "d1", "members"])
+            held = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), held], ["v", "members"])
 
-    side = needed.withColumnRenamed("v", "doc_id")
-    side = F.broadcast(side) if fits(side) else side
-    return source.join(side, "doc_id", "left_semi").mapInArrow(run, "v bigint, d1 bigint, members binary")
+    found = source.join(small(needed.withColumnRenamed("v", "doc_id")), "doc_id", "left_semi").mapInArrow(
+        run, "v bigint, members array<bigint>"
+    )
+    return found.filter("size(members) > 0").groupBy("v").agg(F.collect_set("members").alias("sets"))
 
 
 def verified(pairs: DataFrame, source: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs that link, by their whole sets. An id that repeats with several texts has several sets; a pair links
-    if two of them do, as all rows of an id are one document."""
+    """The pairs that link, by their whole sets. Rows of one id are one document, so two ids link if two of their
+    sets do."""
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct())
+    sets = whole_sets(source, needed, width)
+    left = sets.select(F.col("v").alias("a"), F.col("sets").alias("_x"))
+    right = sets.select(F.col("v").alias("b"), F.col("sets").alias("_y"))
+
+    def link(x: Column, y: Column) -> Column:
+        common = F.size(F.array_intersect(x, y))
+        return den * common >= num * (F.size(x) + F.size(y) - common)
+
+    both = pairs.join(left, "a").join(right, "b")
+    return both.filter(F.exists("_x", lambda x: F.exists("_y", lambda y: link(x, y)))).select("a", "b")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True):
-                both = np.concatenate([np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(den * common >= num * (len(both) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    needed = cut(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct())
-    sets = whole_sets(source, needed, width).filter("length(members) > 0").dropDuplicates(["v", "d1"]).drop("d1")
-    left = sets.select(F.col("v").alias("a"), F.col("members").alias("_x"))
-    right = sets.select(F.col("v").alias("b"), F.col("members").alias("_y"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if a bounded count shows that it is small, else as it is."""
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 # ---- components --------------------------------------------------------------------------------
@@ -397,19 +420,36 @@ def components(edges: DataFrame) -> DataFrame:
     """(v, comp) of every end of ``edges`` (a, b): the smallest id reachable. Labels go to neighbours and then
     jump to their label's label, until none changes."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.min("a")).alias("comp")))
     while True:
-        near = both.join(labels.select(F.col("v").alias("b"), F.col("comp").alias("_c")), "b").groupBy(F.col("a").alias("v")).agg(
-            F.min("_c").alias("_c")
-        )
-        step = labels.join(near, "v").select("v", F.col("comp").alias("_old"), F.least("comp", "_c").alias("comp"))
-        jump = labels.select(F.col("v").alias("comp"), F.col("comp").alias("_up"))
-        new = cut(step.join(jump, "comp", "left").select("v", "_old", F.least("comp", F.coalesce("_up", "comp")).alias("comp")))
-        labels = new.select("v", "comp")
-        if is_empty(new.filter("comp <> _old")):
+        of = small(labels)
+        met = both.join(of.select(F.col("v").alias("b"), F.col("comp").alias("_c")), "b").select("a", "_c")
+        own = labels.select(F.col("v").alias("a"), F.col("comp").alias("_c"))
+        step = met.union(own).groupBy(F.col("a").alias("v")).agg(F.min("_c").alias("_c"))
+        jump = of.select(F.col("v").alias("_c"), F.col("comp").alias("_up"))
+        moved = step.join(jump, "_c", "left").select("v", F.least("_c", F.coalesce("_up", "_c")).alias("comp"))
+        new = cut(moved)
+        changed = new.join(small(labels.withColumnRenamed("comp", "_old")), "v").filter("comp <> _old")
+        labels = new
+        if is_empty(changed):
             return labels
 
 
+def merged_labels(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``labels`` after ``edges`` have been added: only the edges between components are walked."""
+    if labels is None:
+        return components(edges)
+    known = small(labels)
+    ends = edges
+    for end in ("a", "b"):
+        ends = ends.join(known.select(F.col("v").alias(end), F.col("comp").alias(f"_{end}")), end, "left")
+    ends = ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a <> b").distinct()
+    moved = components(ends)
+    up = small(moved).select(F.col("v").alias("comp"), F.col("comp").alias("_up"))
+    old = labels.join(up, "comp", "left").select("v", F.coalesce("_up", "comp").alias("comp"))
+    return cut(old.union(moved.join(small(labels.select("v")), "v", "left_anti")))
+
+
 # ---- the operator ------------------------------------------------------------------------------
 
 
@@ -449,38 +489,48 @@ def near_duplicates(
     n_buckets = int(postings) // BUCKET_POSTINGS + 1
     shared = shared_postings(packed_postings(groups, n_buckets), n_buckets)
     # a list's groups are expanded to their members; a group of several nodes is a list of its own as well
-    size = nodes.groupBy("v").agg(F.min("n").alias("n"))
-    whole = shared.select("token", F.col("v").alias("g"), "place").join(members.select("g", "v"), "g", "left").select(
-        "token", F.coalesce("v", "g").alias("v"), "place"
-    ).union(members.select(F.col("p1").alias("token"), "v", F.lit(0).cast("bigint").alias("place")))
-    lists = cut(whole.join(size, "v"))
+    whole = shared.withColumnRenamed("v", "g").join(small(members.select("g", "v")), "g", "left").select(
+        "token", F.coalesce("v", "g").alias("v"), "n", "place"
+    )
+    lists = cut(whole.union(members.select(F.col("p1").alias("token"), "v", "n", F.lit(0).cast("bigint").alias("place"))))
 
     # an id that repeats with several sets is one document
     owner = known.select("doc_id", *sets).distinct().join(nodes.select("v", *sets), sets)
     several = owner.groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("b")).filter("a <> b").select("doc_id", "a")
-    edges = cut(owner.join(several, "doc_id").select("a", F.col("v").alias("b")).filter("a <> b"))
+    same = cut(owner.join(small(cut(several)), "doc_id").select("a", F.col("v").alias("b")).filter("a <> b"))
+    labels = None if is_empty(same) else components(same)
     asked = None
-    labels = components(edges)
+    lists = lists.withColumn("comp", F.col("v")) if labels is None else _mixed(lists, labels)
     for turn in range(ROUNDS + 1):
-        placed = lists.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
         if turn < ROUNDS:
-            pairs = bitmap_filter(hub_pairs(placed, turn, num, den), nodes, num, den)
+            pairs = bitmap_filter(cut(hub_pairs(lists, turn, num, den)), nodes, num, den)
         else:
-            pairs = cross_pairs(placed, nodes, num, den)
+            pairs = cross_pairs(lists, nodes, num, den)
         if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
+            pairs = pairs.join(small(asked), ["a", "b"], "left_anti")
         pairs = cut(pairs)
         asked = pairs if asked is None else asked.union(pairs)
         found = cut(verified(pairs, source, width, num, den))
         if not is_empty(found):
-            edges = edges.union(found)
-            labels = components(edges)
-
-    own = rows.select("doc_id", *sets).join(nodes.select("v", *sets), sets, "left").join(labels, "v", "left")
+            labels = merged_labels(labels, found)
+        if turn < ROUNDS and labels is not None:
+            lists = _mixed(lists, labels)
+            if is_empty(lists):
+                break
+
+    own = rows.select("doc_id", *sets).join(nodes.select("v", *sets), sets, "left")
+    own = own.join(small(labels), "v", "left") if labels is not None else own.withColumn("comp", F.col("v"))
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("comp", "v")).otherwise(F.col("doc_id"))
     return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def _mixed(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists that hold more than one component, with their members' components."""
+    placed = lists.drop("comp").join(small(labels), "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo <> _hi").select("token")
+    return cut(placed.join(small(cut(mixed)), "token", "left_semi"))
+
+
 def keep_first(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One document of each component, the one with the smallest id, with its own columns. Documents without
     shingles or without an id stay. Of rows that repeat an id all stay or go together."""

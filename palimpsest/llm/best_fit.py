@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import load, vocabulary
-from palimpsest.llm.common import slices
+from palimpsest.llm.common import bounded_batches, slices
 from palimpsest.plans.lineage import cut
 
 #: A pattern: how often each length stands in one sequence, as ((length, times), ...).
@@ -71,7 +71,7 @@ def pieces(
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    source = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
+    source = bounded_batches(docs).selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
     return source.mapInArrow(run, PIECE)
 
 

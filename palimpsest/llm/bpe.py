@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import LOWER, hash_spans, mix64, sizes_within, slices, spans, text_data
+from palimpsest.llm.common import LOWER, bounded_batches, hash_spans, mix64, sizes_within, slices, spans, text_data
 
 #: Words of more parts than this are merged with a heap.
 SHORT = 48
@@ -363,7 +363,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
                 ["doc_id", "ids", "decoded"],
             )
 
-    source = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
+    source = bounded_batches(docs).selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
     return source.mapInArrow(run, "doc_id bigint, ids array<int>, decoded string")
 
 
@@ -389,5 +389,5 @@ def round_trip_digest(
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    source = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
+    source = bounded_batches(docs).selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
     return source.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

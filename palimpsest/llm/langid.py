@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import held_out, slices
+from palimpsest.llm.common import bounded_batches, held_out, slices
+from palimpsest.plans.lineage import fits
 
 #: The sample: so many documents of each language at most, and so many characters of each.
 SAMPLE_DOCS = 512
@@ -47,14 +48,14 @@ def letters_only(text: str | None) -> str:
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, list[str]]:
     """Language -> sampled characters, at most ``SAMPLE_DOCS`` x ``SAMPLE_CHARS`` of each, chosen by hash of the
     id among documents whose crc32 modulo 4 is not 2. The number of languages is that of distinct labels."""
-    labelled = docs.select(
+    labelled = bounded_batches(docs).select(
         F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"),
         F.col(f"`{lang_col}`").cast("string").alias("lang"),
     ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 4))
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     # a hash threshold leaves about four times the sample of every language, so no language is sorted whole
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
-    few = labelled.join(F.broadcast(sizes), "lang").withColumn("draw", draw).filter(
+    few = labelled.join(F.broadcast(sizes) if fits(sizes) else sizes, "lang").withColumn("draw", draw).filter(
         F.col("draw") * F.col("n") < F.lit((4 * SAMPLE_DOCS) << 30)
     )
     at = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1)))
@@ -141,7 +142,7 @@ def identify(
             )
 
     number = F.col(f"`{id_col}`").cast("bigint")
-    source = docs.select(number.alias("doc_id"), held_out(number, 4).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
+    source = bounded_batches(docs).select(number.alias("doc_id"), held_out(number, 4).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     return source.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
 
 

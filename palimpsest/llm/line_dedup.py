@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import Words, mix64, slices
+from palimpsest.llm.common import Words, bounded_batches, mix64, slices
 from palimpsest.plans.lineage import cut
 
 #: Hashes that one shard holds on average.
@@ -165,7 +165,7 @@ def line_hashes(docs: DataFrame, min_chars: int, id_col: str, text_col: str) ->
                 ["doc_id", "a", "b"],
             )
 
-    source = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
+    source = bounded_batches(docs).selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
     return source.mapInArrow(run, "doc_id bigint, a bigint, b bigint")
 
 

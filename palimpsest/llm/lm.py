@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Words, held_out, slices
+from palimpsest.llm.common import Words, bounded_batches, held_out, slices
 from palimpsest.llm.gru import Gru, Trainer
 from palimpsest.plans.lineage import cut
 
@@ -182,7 +182,7 @@ def _scored(source: DataFrame, lexicon, weights) -> DataFrame:
         model = Gru(known.freq).load(weights.value)
         base_per_token = np.log10(known.total + known.types + 1)
         outside_per_word = np.log10(known.outside_total)
-        for batch in slices(batches, "text", 12 << 20):
+        for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
             hashes, first = words.hash, words.first
             n = np.diff(first)
@@ -236,7 +236,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     number = F.col(f"`{id_col}`").cast("bigint")
-    source = docs.select(number.alias("doc_id"), held_out(number, 7).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
+    source = bounded_batches(docs).select(number.alias("doc_id"), held_out(number, 7).alias("held_out"), F.col(f"`{text_col}`").alias("text"))
     training = source.filter("not held_out")
     counts, learned = learn_counts(training)
     lexicon = spark.sparkContext.broadcast(learned)

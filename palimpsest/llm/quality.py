@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Words, hash_spans, mix64, slices, spans
+from palimpsest.llm.common import Words, bounded_batches, hash_spans, mix64, slices, spans
 from palimpsest.plans.lineage import cut, fits
 
 SYMBOLS = b"#*$%&|<>"
@@ -93,7 +93,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             named |= {n: pa.array(found[n], pa.int64()) for n in ("n_lines", *COUNTS)}
             yield pa.RecordBatch.from_arrays(list(named.values()), names=list(named))
 
-    source = docs.selectExpr(
+    source = bounded_batches(docs).selectExpr(
         f"cast(`{id_col}` as bigint) doc_id", f"cast(`{lang_col}` as string) lang",
         f"cast(`{source_col}` as string) source", f"`{text_col}` text",
     )

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from palimpsest.llm.bpe import load, vocabulary
-from palimpsest.llm.common import slices
+from palimpsest.llm.common import bounded_batches, slices
 
 SCHEMA = (
     "sequence_id bigint, n_tokens int, n_pieces int, input_ids binary, cu_seqlens array<int>, position_ids binary, "
@@ -129,7 +129,7 @@ def packed_matrices(
                     block, held = [], 0
         yield from packed(block)
 
-    source = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
+    source = bounded_batches(docs).selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text")
     return source.mapInArrow(run, SCHEMA)
 
 

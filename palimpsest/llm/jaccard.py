@@ -31,14 +31,14 @@ from palimpsest.plans.lineage import BROADCAST_ROWS, cut, fits, is_empty
 #: Counters of the global order: 4 MB, whatever the table holds.
 COUNTERS = 1 << 20
 _CHUNKS = 16
-#: Bits of a set's bitmap.
-BITS = 2048
+#: Bits of a set's bitmap, and of that of a set of more than ``LARGE`` shingles.
+BITS, WIDE, LARGE = 2048, 16384, 1024
 #: Postings a bucket is planned for; those of so many groups are packed together.
 BUCKET_POSTINGS = 1_000_000
 PACK_GROUPS = 4096
 #: Members of a list that one block of the last round holds, and postings of one of its tasks.
 BLOCK = 2048
-CROSS_POSTINGS = 50_000
+CROSS_POSTINGS = 200_000
 #: Rounds with hubs before the last one.
 ROUNDS = 2
 #: Text that a task takes apart at a time.
@@ -153,15 +153,42 @@ def document_sets(source: DataFrame, counts, width: int, num: int, den: int, pre
 
 
 def _bitmaps(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """A parity bitmap of every text's set, some hundred texts at a time."""
-    out = []
-    for at in range(0, len(first) - 1, 256):
-        cuts = first[at: at + 257]
-        n = len(cuts) - 1
-        text = np.repeat(np.arange(n), np.diff(cuts))
-        bit = text * BITS + (mix64(hashes[cuts[0]: cuts[-1]] + np.uint64(77)) >> np.uint64(64 - 11)).astype(np.int64)
-        odd = (np.bincount(bit, minlength=n * BITS) & 1).astype(np.uint8)
-        out += [m.tobytes() for m in np.packbits(odd.reshape(n, BITS), axis=1, bitorder="little")]
+    """A parity bitmap of every text's set, some texts at a time. Folding a wide one gives the narrow one of the set."""
+    out: list[bytes] = [b""] * (len(first) - 1)
+    size = np.diff(first)
+    for bits, chosen in ((BITS, np.flatnonzero(size <= LARGE)), (WIDE, np.flatnonzero(size > LARGE))):
+        for at in range(0, len(chosen), (1 << 19) // bits):
+            some = chosen[at: at + (1 << 19) // bits]
+            n = size[some]
+            ends = np.cumsum(n)
+            members = hashes[np.repeat(first[some] - ends + n, n) + np.arange(ends[-1])]
+            bit = np.repeat(np.arange(len(some)), n) * bits + (mix64(members + np.uint64(77)) & np.uint64(bits - 1)).astype(np.int64)
+            odd = (np.bincount(bit, minlength=len(some) * bits) & 1).astype(np.uint8)
+            for i, m in zip(some.tolist(), np.packbits(odd.reshape(-1, bits), axis=1, bitorder="little"), strict=True):
+                out[i] = m.tobytes()
+    return out
+
+
+class Bitmaps:
+    """The bitmaps of a column: all of them narrow (wide ones folded), and the wide ones as they are."""
+
+    def __init__(self, column):
+        raw = column.to_pylist()
+        self.wide = np.array([len(m) > BITS // 8 for m in raw], bool)
+        self.slot = np.cumsum(self.wide) - 1
+        self.large = np.frombuffer(b"".join(m for m in raw if len(m) > BITS // 8), "<u8").reshape(-1, WIDE // 64)
+        self.small = np.zeros((len(raw), BITS // 64), np.uint64)
+        self.small[~self.wide] = np.frombuffer(b"".join(m for m in raw if len(m) <= BITS // 8), "<u8").reshape(-1, BITS // 64)
+        if len(self.large):
+            self.small[self.wide] = np.bitwise_xor.reduce(self.large.reshape(-1, WIDE // BITS, BITS // 64), axis=1)
+
+
+def bits_that_differ(x: Bitmaps, i: np.ndarray, y: Bitmaps, j: np.ndarray) -> np.ndarray:
+    out = np.bitwise_count(x.small[i] ^ y.small[j]).sum(axis=1, dtype=np.int64)
+    both = np.flatnonzero(x.wide[i] & y.wide[j])
+    for at in range(0, len(both), 4096):
+        k = both[at: at + 4096]
+        out[k] = np.bitwise_count(x.large[x.slot[i[k]]] ^ y.large[y.slot[j[k]]]).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -253,16 +280,11 @@ def possible(na, place_a, nb, place_b, num: int, den: int):
     return (den * less(na, nb) >= num * more(na, nb)) & ((num + den) * most >= num * (na + nb))
 
 
-def bitmaps_allow(x: np.ndarray, y: np.ndarray, na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
+def bitmaps_allow(differ: np.ndarray, na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
     """Sets whose bitmaps differ in d bits differ in d shingles at least, so they share (na + nb - d) / 2 at most."""
-    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
     return (num + den) * ((na + nb - differ) // 2) >= num * (na + nb)
 
 
-def _maps(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(len(column), BITS // 64)
-
-
 def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
@@ -313,7 +335,7 @@ def cross_pairs(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataF
             lst, v, n, place, comp, side = (
                 np.asarray(left.column(c)) for c in ("list", "v", "n", "place", "comp", "side")
             )
-            ids, maps = np.asarray(right.column("id")), _maps(right.column("bitmap"))
+            ids, maps = np.asarray(right.column("id")), Bitmaps(right.column("bitmap"))
             by = np.argsort(ids)
             row = by[np.searchsorted(ids[by], v)]
             order = np.lexsort((n, lst))
@@ -328,7 +350,7 @@ def cross_pairs(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataF
                 waiting.clear()
                 for at in range(0, len(a), 1 << 15):
                     x, y = a[at: at + (1 << 15)], b[at: at + (1 << 15)]
-                    ok = bitmaps_allow(maps[x], maps[y], n_of[x], n_of[y], num, den)
+                    ok = bitmaps_allow(bits_that_differ(maps, x, maps, y), n_of[x], n_of[y], num, den)
                     found.append((x[ok], y[ok]))
 
             for gap in range(1, int(size.max())):
@@ -356,6 +378,10 @@ def cross_pairs(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataF
 # ---- verification --------------------------------------------------------------------------------
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+
+
 def bitmap_filter(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (kept in the shared folder) whose bitmaps do not rule a link out."""
 
@@ -363,16 +389,18 @@ def bitmap_filter(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> Dat
         for batch in batches:
             if batch.num_rows:
                 na, nb = (np.asarray(batch.column(c)) for c in ("na", "nb"))
-                ok = bitmaps_allow(_maps(batch.column("ma")), _maps(batch.column("mb")), na, nb, num, den)
+                every = np.arange(batch.num_rows)
+                differ = bits_that_differ(Bitmaps(batch.column("ma")), every, Bitmaps(batch.column("mb")), every)
+                ok = bitmaps_allow(differ, na, nb, num, den)
                 yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    ends = _ends(pairs)
     few = fits(pairs, FEW)
     near = cut(nodes.select("v", "n", "bitmap").join(F.broadcast(ends) if few else ends, "v", "left_semi"))
     left = near.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
     right = near.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
-    if few:  # at most twice as many bitmaps of 256 bytes
-        left, right = F.broadcast(left), F.broadcast(right)
+    if few:
+        left, right = small(left, FEW), small(right, FEW)
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -395,7 +423,7 @@ def whole_sets(source: DataFrame, needed: DataFrame, width: int) -> DataFrame:
 def verified(pairs: DataFrame, source: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs that link, by their whole sets. Rows of one id are one document, so two ids link if two of their
     sets do."""
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct())
+    needed = cut(_ends(pairs))
     sets = whole_sets(source, needed, width)
     left = sets.select(F.col("v").alias("a"), F.col("sets").alias("_x"))
     right = sets.select(F.col("v").alias("b"), F.col("sets").alias("_y"))

@@ -226,19 +226,21 @@ def test_long_lists_in_blocks(docs, rows, monkeypatch):
 
 
 def test_bitmaps_never_rule_out_a_link():
+    import pyarrow as pa
+
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        n, m = rng.integers(1, 400, 2)
-        x = rng.integers(0, 2**62, n + m, dtype=np.uint64)
-        a, b = x[:n], np.concatenate([x[: n - n // 8], x[n: n + m // 8]])
-        maps = [
-            np.packbits((np.bincount((common.mix64(s + np.uint64(77)) >> np.uint64(53)).astype(int), minlength=2048) & 1).astype(np.uint8),
-                        bitorder="little").view("<u8")[None, :]
-            for s in (a, b)
-        ]
-        same = len(set(a.tolist()) & set(b.tolist()))
-        if 100 * same >= 75 * (len(a) + len(b) - same):
-            assert jaccard.bitmaps_allow(*maps, np.array([len(a)]), np.array([len(b)]), 75, 100)[0]
+    for most in (400, 3000):
+        for _ in range(100):
+            n, m = rng.integers(1, most, 2)
+            x = rng.integers(0, 2**62, n + m, dtype=np.uint64)
+            a, b = x[:n], np.concatenate([x[: n - n // 8], x[n: n + m // 8]])
+            maps = jaccard.Bitmaps(pa.array(jaccard._bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))))
+            one = np.array([0])
+            differ = jaccard.bits_that_differ(maps, one, maps, one + 1)
+            same = len(set(a.tolist()) & set(b.tolist()))
+            assert differ[0] <= len(a) + len(b) - 2 * same
+            if 100 * same >= 75 * (len(a) + len(b) - same):
+                assert jaccard.bitmaps_allow(differ, np.array([len(a)]), np.array([len(b)]), 75, 100)[0]
 
 
 # ---- language model -------------------------------------------------------------------------------

@@ -309,21 +309,26 @@ def hub_pairs(lists: DataFrame, turn: int, num: int, den: int) -> DataFrame:
 def cross_pairs(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): all pairs of a list that lie in different components and pass every filter. Long lists are cut into
     blocks, and two blocks at a time meet in a task."""
-    mixed = lists.groupBy("token").agg(F.count("*").alias("_k"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter(
+    mixed = cut(lists.groupBy("token").agg(F.count("*").alias("_k"), F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter(
         "_lo <> _hi"
-    ).select("token", F.ceil(F.col("_k") / BLOCK).cast("int").alias("_m"))
+    ).select("token", "_lo", "_k", F.ceil(F.col("_k") / BLOCK).cast("int").alias("_m")))
+    # lists around one component share most of their members: they go to one bucket, or to as many as they fill
+    fill = mixed.groupBy("_lo").agg(F.ceil(F.sum("_k") / CROSS_POSTINGS).alias("_salts"))
+    mixed = mixed.join(small(cut(fill)), "_lo").select("token", "_m", F.xxhash64("_lo", F.pmod("token", "_salts")).alias("_key"))
+    mixed = small(cut(mixed))
     i, j = F.col("_i"), F.col("_j")
     dealt = (
         lists.join(mixed, "token").withColumn("_i", F.pmod(F.xxhash64("v"), F.col("_m")).cast("int"))
         .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
         .select(
             F.when(F.col("_m") == 1, F.col("token")).otherwise(F.xxhash64("token", F.least(i, j), F.greatest(i, j))).alias("list"),
+            F.when(F.col("_m") == 1, F.col("_key")).otherwise(F.xxhash64("token", F.least(i, j), F.greatest(i, j))).alias("key"),
             "v", "n", "place", "comp", F.when(i == j, -1).when(i < j, 0).otherwise(1).alias("side"),
         )
     )
     dealt = cut(dealt)
     n_buckets = dealt.count() // CROSS_POSTINGS + 1
-    dealt = dealt.withColumn("bucket", F.pmod("list", F.lit(n_buckets)).cast("int"))
+    dealt = dealt.withColumn("bucket", F.pmod("key", F.lit(n_buckets)).cast("int")).drop("key")
     held = dealt.select(F.col("bucket").alias("of"), F.col("v").alias("id")).distinct().join(
         nodes.select(F.col("v").alias("id"), "bitmap"), "id"
     ).select("of", "id", "bitmap")

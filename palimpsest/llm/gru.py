@@ -10,15 +10,21 @@ from __future__ import annotations
 import numpy as np
 
 _SHUT = -1e9
+#: Rows of a softmax at a time, so that its tables stay in the cache.
+_ROWS = 2048
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    out = np.tanh(0.5 * x)
+    out += 1.0
+    out *= 0.5
+    return out
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    x -= np.log(np.exp(x).sum(axis=-1, keepdims=True))
+    return x
 
 
 class Gru:
@@ -71,31 +77,37 @@ class Gru:
         """Natural log probability of every target given its state; with ``grads``, adds the gradients of the
         negative sum to it and returns those of the states as well."""
         p, size = self.p, self.size
-        kind, slot = target // size, target % size
-        logits = _log_softmax(states @ p["cw"].T + p["cb"])
-        rows = np.arange(len(target))
-        out = logits[rows, kind].astype(np.float64)
-        back = None
-        if grads is not None:
-            d = np.exp(logits)
+        out = np.zeros(len(target))
+        back = None if grads is None else np.empty_like(states)
+        for begin in range(0, len(target), _ROWS):
+            part = slice(begin, begin + _ROWS)
+            kind = target[part] // size
+            order = np.argsort(kind, kind="stable")  # rows of one class side by side
+            kind, slot, here = kind[order], (target[part] % size)[order], states[part][order]
+            rows = np.arange(len(kind))
+            outer = _log_softmax(here @ p["cw"].T + p["cb"])
+            cuts = np.flatnonzero(np.diff(kind, prepend=-1))
+            classes = list(zip(kind[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(kind)], strict=True))
+            inner = p["ob"][kind]
+            for k, a, b in classes:
+                inner[a:b] += here[a:b] @ p["ow"][k].T
+            inner = _log_softmax(inner)
+            out[begin + order] = outer[rows, kind].astype(np.float64) + inner[rows, slot]
+            if grads is None:
+                continue
+            d = np.exp(outer)
             d[rows, kind] -= 1
-            grads["cw"] += d.T @ states
+            grads["cw"] += d.T @ here
             grads["cb"] += d.sum(axis=0)
-            back = d @ p["cw"]
-        order = np.argsort(kind, kind="stable")
-        cuts = np.flatnonzero(np.diff(kind[order], prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
-            at = order[a:b]
-            k = kind[at[0]]
-            logits = _log_softmax(states[at] @ p["ow"][k].T + p["ob"][k])
-            here = np.arange(len(at))
-            out[at] += logits[here, slot[at]]
-            if grads is not None:
-                d = np.exp(logits)
-                d[here, slot[at]] -= 1
-                grads["ow"][k] += d.T @ states[at]
-                grads["ob"][k] += d.sum(axis=0)
-                back[at] += d @ p["ow"][k]
+            d_here = d @ p["cw"]
+            d = np.exp(inner)
+            d[rows, slot] -= 1
+            for k, a, b in classes:
+                grads["ow"][k] += d[a:b].T @ here[a:b]
+                d_here[a:b] += d[a:b] @ p["ow"][k]
+            if len(cuts):
+                grads["ob"][kind[cuts]] += np.add.reduceat(d, cuts, axis=0)
+            back[begin + order] = d_here
         return out, back
 
     def log_likelihood(self, ids: np.ndarray, first: np.ndarray, begin: int, window: int = 64) -> np.ndarray:
@@ -146,42 +158,50 @@ class Trainer:
 
     def fit(self, sequences: list[np.ndarray], begin: int, window: int = 32) -> None:
         """One pass over a batch of sequences, window by window, the state carried and its gradient cut between them."""
-        model = self.model
-        m, p = model.hidden, model.p
+        model, p = self.model, self.model.p
+        m = model.hidden
         sequences = sorted((s for s in sequences if len(s)), key=lambda s: -len(s))
+        length = np.array([len(s) for s in sequences], np.int64)
         h = np.zeros((len(sequences), m), np.float32)
-        for at in range(0, max(map(len, sequences), default=0), window):
-            live = sum(len(s) > at for s in sequences)
-            sequences, h = sequences[:live], h[:live]
-            steps, states, target = [], [], []
-            for t in range(at, min(len(sequences[0]), at + window)):
-                n = sum(len(s) > t for s in sequences)
-                token = np.array([s[t - 1] if t else begin for s in sequences[:n]])
-                x = p["embed"][token] @ p["wx"] + p["wb"]
-                old = h[:n]
-                new_h, z, r, new, gn = model._step(x, old)
-                steps.append((token, old, z, r, new, gn))
-                states.append(new_h)
-                target.append(np.array([s[t] for s in sequences[:n]]))
-                h = np.concatenate([new_h, h[n:]]) if n < len(h) else new_h
+        for at in range(0, int(length.max(initial=0)), window):
+            live = int(np.searchsorted(-length, -at, side="left"))
+            sequences, length, h = sequences[:live], length[:live], h[:live]
+            block = np.zeros((min(window, int(length[0]) - at) + 1, live), np.int64)  # the tokens before, and the window's
+            block[0] = [s[at - 1] for s in sequences] if at else begin
+            for i, s in enumerate(sequences):
+                held = s[at: at + window]
+                block[1: len(held) + 1, i] = held
+            alive = length > at + np.arange(len(block) - 1)[:, None]
+            token, flat = block[:-1][alive], block[1:][alive]
+            ends = np.cumsum(alive.sum(axis=1)).tolist()
+            places = list(zip([0, *ends[:-1]], ends, strict=True))
+            embedded = p["embed"][token]
+            x = embedded @ p["wx"] + p["wb"]
+            old, z, r, new, gn, states = (np.empty((len(flat), m), x.dtype) for _ in range(6))
+            for a, b in places:
+                old[a:b] = h[: b - a]
+                states[a:b], z[a:b], r[a:b], new[a:b], gn[a:b] = model._step(x[a:b], old[a:b])
+                h = np.concatenate([states[a:b], h[b - a:]]) if b - a < len(h) else states[a:b]
             grads = {k: np.zeros_like(v) for k, v in p.items()}
-            flat = np.concatenate(target)
-            _, back = model._outputs(np.concatenate(states), flat, grads)
-            ends = np.cumsum([len(x) for x in target])
-            dh = np.zeros((0, m), np.float32)
-            for (token, old, z, r, new, gn), end in zip(reversed(steps), reversed(ends.tolist()), strict=True):
-                d = back[end - len(token): end].copy()
+            _, back = model._outputs(states, flat, grads)
+            by_z, by_new, by_r = (old - new) * z * (1 - z), (1 - z) * (1 - new * new), gn * r * (1 - r)
+            d_x, d_g = np.empty_like(x), np.empty_like(x)
+            dh = np.zeros((0, m), x.dtype)
+            for a, b in reversed(places):
+                d = back[a:b]
                 d[: len(dh)] += dh
-                d_new = d * (1 - z) * (1 - new * new)
-                d_z = d * (old - new) * z * (1 - z)
-                d_r = d_new * gn * r * (1 - r)
-                d_x = np.concatenate([d_z, d_r, d_new], axis=1)
-                d_g = np.concatenate([d_z, d_r, d_new * r], axis=1)
-                grads["wh"] += old.T @ d_g
-                grads["wb"] += d_x.sum(axis=0)
-                grads["wx"] += p["embed"][token].T @ d_x
-                np.add.at(grads["embed"], token, d_x @ p["wx"].T)
-                dh = d * z + d_g @ p["wh"].T
+                d_x[a:b, :m] = d * by_z[a:b]
+                d_new = d * by_new[a:b]
+                d_x[a:b, m: 2 * m] = d_new * by_r[a:b]
+                d_x[a:b, 2 * m:] = d_new
+                d_g[a:b, : 2 * m] = d_x[a:b, : 2 * m]
+                d_g[a:b, 2 * m:] = d_new * r[a:b]
+                dh = d * z[a:b] + d_g[a:b] @ p["wh"].T
+            grads["wh"] += old.T @ d_g
+            grads["wb"] += d_x.sum(axis=0)
+            grads["wx"] += embedded.T @ d_x
+            order = np.argsort(token, kind="stable")
+            cuts = np.flatnonzero(np.diff(token[order], prepend=-1))
+            grads["embed"][token[order[cuts]]] += np.add.reduceat((d_x @ p["wx"].T)[order], cuts, axis=0)
             self.tokens += len(flat)
             self._update(grads, len(flat))
-            p = model.p

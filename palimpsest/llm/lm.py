@@ -4,9 +4,9 @@ Words of all training documents are counted in Spark. The most frequent ones bec
 recurrent network (:mod:`palimpsest.llm.gru`); every other word is the network's unknown word times the word's
 own share among the words outside the vocabulary, so scores are probabilities of the very text.
 
-The network is trained where the documents are: each task trains a copy on a hashed share of its training
-documents, copies are averaged by tokens in Spark, and the average is trained once more. The share is a fixed
-fraction, so what is learned from grows with the table.
+The network is trained where the documents are: each task trains a copy on its training documents, and copies are
+averaged by tokens in Spark. The rounds before the last only give the copies a common start and take a hashed share
+of the documents; the last round trains on all of them.
 
 Counts of the more frequent words (up to ``LOOKUP`` of them) go to every task. The rare words a document holds
 beyond them are joined to the full counts in Spark; none of them is frequent, so that join has no hot key.
@@ -28,7 +28,7 @@ from palimpsest.plans.lineage import cut
 
 #: Words of the network's vocabulary, the unknown word and the end among them.
 VOCABULARY = 2048
-#: One training document in so many trains the network (all are counted), in so many rounds.
+#: One training document in so many trains the network in the rounds before the last, and all of them in the last.
 TRAIN_ONE_IN = 16
 ROUNDS = 2
 BATCH_DOCS = 32
@@ -124,11 +124,13 @@ def learn_counts(training: DataFrame) -> tuple[DataFrame, Lexicon]:
 # ---- training ------------------------------------------------------------------------------------
 
 
-def train(training: DataFrame, lexicon, start: np.ndarray | None, rate: float) -> np.ndarray:
-    """The average of copies trained on a share of ``training``, weighted by their tokens, from ``start``."""
+def train(training: DataFrame, lexicon, start: np.ndarray | None, rate: float, one_in: int = 1) -> np.ndarray:
+    """The average of copies trained on ``training``, weighted by their tokens, from ``start``; with ``one_in``, on
+    one document in so many."""
     spark = training.sparkSession
     sent = spark.sparkContext.broadcast(start)
-    share = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(TRAIN_ONE_IN)) == 0).select("text")
+    share = training if one_in == 1 else training.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(one_in)) == 0)
+    share = share.select("text")
     if share.rdd.getNumPartitions() > COPIES:
         share = share.coalesce(COPIES)
 
@@ -242,7 +244,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lexicon = spark.sparkContext.broadcast(learned)
     weights = None
     for turn in range(ROUNDS):
-        weights = train(training, lexicon, weights, 0.01 / (turn + 1))
+        weights = train(training, lexicon, weights, 0.01 / (turn + 1), 1 if turn == ROUNDS - 1 else TRAIN_ONE_IN)
     rows = cut(_scored(source, lexicon, spark.sparkContext.broadcast(weights))).withColumn("key", F.monotonically_increasing_id())
     rare = _rare_words(rows).join(counts, "word").groupBy("key").agg(
         F.sum(F.log10(F.col("c") + 1)).alias("more"), F.count("*").alias("known")

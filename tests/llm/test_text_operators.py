@@ -317,6 +317,20 @@ def test_held_out_texts_are_told_better_than_by_counts(spark, monkeypatch):
     assert gain > 0.15  # of log10(2) = 0.3 at most
 
 
+def test_every_training_document_reaches_the_network(spark):
+    """At the values in use; no training row's id falls into the share of the first round."""
+    rng = random.Random(4)
+    words = [[f"{x}{k}" for k in range(40)] for x in "ab"]
+    place = "pmod(xxhash64(id, 5), 16)"
+    ids = {r.id: r.at for r in spark.range(100).selectExpr("id", f"{place} at").collect()}
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    known, asked = next(i for i in ids if ids[i] and not out(i)), next(i for i in ids if out(i))
+    rows = [(asked if i >= 600 else known, " ".join(rng.choice(words[i % 2]) for _ in range(80))) for i in range(700)]
+    found = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).filter("held_out").collect()
+    assert len(found) == 100 and lm.TRAIN_ONE_IN == 16
+    assert sum(r.score - r.base_score for r in found) / sum(r.n_tokens for r in found) > 0.15
+
+
 def test_language_model_of_nothing(empty, spark):
     assert lm.score_documents(empty).count() == 0
     only = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)

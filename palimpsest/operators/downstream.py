@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import labels as lb
 from palimpsest.operators import script as sc
+from palimpsest.plans.lineage import hash_rank
 
 LEXICAL = ("SYN", "SYN-DIST", "HYPER", "HYPO", "ANT", "POS", "NE-SUB")
 FEATURES = (
@@ -59,13 +63,77 @@ def feature_rows(words: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFr
     )
 
 
-def classify(rows: DataFrame, fold: int, *, trees: bool = False) -> DataFrame:
-    """Reference or not, fitted on the other folds: (pair_id, gold, score) of the held fold."""
-    data = rows.withColumn("label", F.col("pair_label").isin("cit", "cf").cast("double"))
-    train, test = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
-    steps = [VectorAssembler(inputCols=list(FEATURES), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
-    model = GBTClassifier(maxIter=10, seed=1) if trees else LogisticRegression(maxIter=50)
-    fitted = Pipeline(stages=[*steps, model]).fit(train)
-    from pyspark.ml.functions import vector_to_array
+FOLDS = range(5)
+NEG_RATIO = 10
+
+
+def sample_negatives(train: DataFrame) -> DataFrame:
+    """All positives and at most ``NEG_RATIO`` times as many negatives, drawn by md5 key."""
+    n = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    most = NEG_RATIO * max(n.get(1.0, 0), 1)
+    if n.get(0.0, 0) <= most:
+        return train
+    drawn = hash_rank(train.filter("label = 0"), F.md5(F.col("pair_id").cast("string")), "_rk").filter(F.col("_rk") <= most)
+    return train.filter("label = 1").unionByName(drawn.select(*train.columns))
+
+
+def fold_models(data: DataFrame, *, trees: bool = False, sampled: bool = True) -> dict:
+    """fold -> the model fitted on all other folds, where these hold both labels. ``data`` has ``label`` and ``fold``."""
+    out = {}
+    for fold in FOLDS:
+        train = data.filter(~F.col("fold").eqNullSafe(fold))
+        if train.select("label").distinct().count() < 2:
+            continue
+        steps = [VectorAssembler(inputCols=list(FEATURES), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+        model = GBTClassifier(maxIter=10, seed=1) if trees else LogisticRegression(maxIter=50)
+        out[fold] = Pipeline(stages=[*steps, model]).fit(sample_negatives(train) if sampled else train)
+    return out
+
+
+def held_scores(data: DataFrame, models: dict) -> DataFrame:
+    """(pair_id, fold, gold, predicted, score) of every row, by the model of its fold; nulls where that has none."""
+    gold = F.col("label").cast("int").alias("gold")
+    parts = [
+        model.transform(data.filter(F.col("fold") == fold)).select(
+            "pair_id", "fold", gold, F.col("prediction").cast("int").alias("predicted"),
+            F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+        for fold, model in models.items()
+    ]
+    rest = data.filter(~F.coalesce(F.col("fold").isin(*models), F.lit(False)) if models else F.lit(True))
+    return reduce(DataFrame.unionByName, parts, rest.select(
+        "pair_id", "fold", gold, F.lit(None).cast("int").alias("predicted"), F.lit(None).cast("double").alias("score")))
+
+
+def reference_rows(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("label", F.coalesce(F.col("pair_label").isin("cit", "cf"), F.lit(False)).cast("double"))
+
+
+def classify(rows: DataFrame, *, trees: bool = False) -> DataFrame:
+    """Reference or not: (pair_id, fold, gold, predicted, score) of every pair, fitted on the other folds."""
+    data = reference_rows(rows)
+    return held_scores(data, fold_models(data, trees=trees))
+
+
+def type_macro_f1(rows: DataFrame) -> DataFrame:
+    """(fold, n, macro_f1): cit. or cf. among the references, the mean F1 of the classes that gold or prediction have."""
+    data = rows.filter(F.col("pair_label").isin("cit", "cf")).withColumn("label", (F.col("pair_label") == "cit").cast("double"))
+    n = lambda g, p: F.count_if((F.col("gold") == g) & (F.col("predicted") == p))
+    x = held_scores(data, fold_models(data, sampled=False)).filter("predicted is not null").groupBy("fold").agg(
+        F.count("*").alias("n"), n(1, 1).alias("tp"), n(0, 1).alias("fp"), n(1, 0).alias("fn"), n(0, 0).alias("tn"))
+    wrong = F.col("fp") + F.col("fn")
+    f1 = lambda right: F.when(F.col(right) + wrong > 0, 2 * F.col(right) / (2 * F.col(right) + wrong))
+    both = F.filter(F.array(f1("tp"), f1("tn")), lambda v: v.isNotNull())
+    return x.select("fold", "n", F.round(F.aggregate(both, F.lit(0.0), lambda a, v: a + v) / F.size(both), 6).alias("macro_f1"))
+
 
-    return fitted.transform(test).select("pair_id", F.col("label").cast("int").alias("gold"), F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+def coefficients(rows: DataFrame) -> DataFrame:
+    """(feature, fold_0 ... fold_4, mean, sign_agreement): standardised coefficients of the reference classifier."""
+    models = fold_models(reference_rows(rows))
+    columns = {k: m.stages[-1].coefficients.toArray().tolist() for k, m in models.items()}
+    out = []
+    for i, name in enumerate(FEATURES):
+        held = [c[i] for c in columns.values()]
+        out.append((name, *[columns[k][i] if k in columns else None for k in FOLDS], sum(held) / len(held) if held else None,
+                    max(sum(v > 0 for v in held), sum(v < 0 for v in held)) if held else None))
+    schema = "feature string, " + "".join(f"fold_{k} double, " for k in FOLDS) + "mean double, sign_agreement int"
+    return rows.sparkSession.createDataFrame(out, schema)

@@ -27,11 +27,25 @@ def features(b: Inputs):
     return ds.feature_rows(b.words, b.pred, b.pairs).filter("n_links > 0").select(*COLS)
 
 
+def _rows(b: Inputs):
+    return cut(ds.feature_rows(b.words, b.pred, b.pairs))
+
+
 @query("C22_reference_classifier")
 def classifier(b: Inputs):
-    return ds.classify(cut(ds.feature_rows(b.words, b.pred, b.pairs)), 1).select("pair_id", "gold", F.round("score", 4).alias("score"))
+    return ds.classify(_rows(b)).select("pair_id", "gold", F.round("score", 4).alias("score"))
 
 
 @query("C22_boosted_trees")
 def trees(b: Inputs):
-    return ds.classify(cut(ds.feature_rows(b.words, b.pred, b.pairs)), 1, trees=True).select("pair_id", "gold", F.round("score", 4).alias("score"))
+    return ds.classify(_rows(b), trees=True).select("pair_id", "gold", F.round("score", 4).alias("score"))
+
+
+@query("C22_type_macro_f1")
+def type_macro_f1(b: Inputs):
+    return ds.type_macro_f1(_rows(b))
+
+
+@query("C22_coefficients")
+def coefficients(b: Inputs):
+    return ds.coefficients(_rows(b))

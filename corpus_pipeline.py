@@ -1,8 +1,8 @@
 """From raw documents to packed sequences: five stages of palimpsest.llm, each on all its predecessor kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
-No stage has SQL for its rows as a whole (language ID learns a classifier), so ``ORACLE_SQL`` is None and the tests
-hold every stage against a brute-force version.
+No stage has SQL for its rows as a whole (language ID learns a classifier), so ``ORACLE_SQL`` is None. The tests look at
+columns, falling counts and a few ids of the stages; no stage's kept rows are held against brute force yet.
 """
 
 from __future__ import annotations

@@ -206,3 +206,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.lm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op12_byte_bpe")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.byte_bpe import round_trip_digest
+
+    return round_trip_digest(table(spark, sf_dir, "documents"))

@@ -213,3 +213,10 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.byte_bpe import round_trip_digest
 
     return round_trip_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.whiten import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))

@@ -220,3 +220,83 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.whiten import whiten
 
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = r"""
+with recursive tab as (
+    select list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t
+), src as (
+    select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+        list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ord(x)::bigint) as key
+    from conversations
+), kinds as (
+    select src.*, xor(list_reduce(list_prepend(4294967295, key), lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 20 as kind
+    from src, tab
+), damaged as (
+    select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+        case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+    from (select *, unnest(case when kind = 3 then [0, 1] else [0] end) from kinds where kind <> 0)
+), numbered as materialized (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+        regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') as bare, left(role, 1) as initial from damaged
+), row_ as materialized (
+    select *, case when bare = '' then 'b' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'd'
+        when right(bare, 1) not in ('.', '!', '?') then 't' else 'f' end as fault,
+        coalesce(lead(initial) over (partition by conv_id order by i), '-') as following from numbered
+), conv as (
+    select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+        count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate, count(*) filter (fault = 't') as truncated,
+        count(*) filter (following <> '-' and initial || following not in ('su', 'ua', 'au')) as illegal
+    from row_ group by conv_id
+), state(s, following, role) as (
+    values (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')
+), inserted as (
+    select s, 0 as k, s as t from state union all select s, 1, following from state
+    union all select a.s, 2, b.following from state a join state b on b.s = a.following
+    union all select a.s, 3, c.following from state a join state b on b.s = a.following join state c on c.s = b.following
+), edit(name, cost) as (
+    values ('D', 3), ('K', 0), ('R', 2)
+), walk as (
+    select conv_id, 0::bigint as i, 0 as s, {'cost': 0::bigint, 'audit': ''} as best from conv
+    union all
+    select conv_id, i, s, min(best) from (
+        select w.conv_id, r.i, case when name = 'D' then x.t when name = 'K' and r.initial = 's' then 1 else st.following end as s,
+            {'cost': w.best.cost + 2 * k + e.cost + case when name <> 'D' and fault = 't' then 1 else 0 end,
+             'audit': w.best.audit || repeat('I', k) || name} as best
+        from walk w join row_ r on r.conv_id is not distinct from w.conv_id and r.i = w.i + 1
+            join inserted x on x.s = w.s join state st on st.s = x.t, edit e
+        where name = 'D' or (fault in ('f', 't') and (name = 'R' or r.initial = left(st.role, 1) or (r.initial = 's' and x.t = 0)))
+    ) group by conv_id, i, s
+), solved as (
+    select w.conv_id, min({'cost': w.best.cost + 2 * k, 'audit': w.best.audit || repeat('I', k)}) as best
+    from walk w join conv on conv.conv_id is not distinct from w.conv_id and conv.n = w.i join inserted x on x.s = w.s
+    where x.t in (0, 3) group by w.conv_id
+), letters as (
+    select conv_id, unnest(string_split(best.audit, '')) as edit, unnest(range(1, length(best.audit) + 1)) as pos from solved where best.audit <> ''
+), placed as (
+    select *, count(*) filter (edit <> 'I') over (partition by conv_id order by pos) as i,
+        count(*) filter (edit <> 'D') over (partition by conv_id order by pos) as place from letters
+), kept as (
+    select p.*, r.role, r.text, coalesce(max(case when p.edit = 'K' and r.initial = 's' then 1 else 0 end) over (partition by p.conv_id), 0) as lead_s
+    from placed p left join row_ r on r.conv_id is not distinct from p.conv_id and r.i = p.i and p.edit <> 'I'
+    where p.edit <> 'D'
+), written as (
+    select conv_id, string_agg(
+        case when edit = 'K' then role when (place - lead_s) % 2 = 1 then 'user' else 'assistant' end || ':' ||
+        case when edit = 'I' then '' else text end, chr(10) order by pos) as repaired
+    from kept group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+    coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(s.best.cost, 0)::bigint as cost,
+    coalesce(s.best.audit, '') as audit, sha256(coalesce(w.repaired, '')) as repaired_sha256
+from (select distinct conv_id from conversations) o left join conv c on c.conv_id is not distinct from o.conv_id
+    left join solved s on s.conv_id is not distinct from o.conv_id left join written w on w.conv_id is not distinct from o.conv_id
+"""
+
+
+@query("op11_conversation_repair", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.repair import damaged_and_repaired
+
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))

@@ -97,17 +97,6 @@ def variants_replay(placed: DataFrame) -> DataFrame:
     return read.join(script, ["pid", "v"]).select("pid", "v", (F.col("once") & (F.col("read") == F.col("said"))).alias("ok"), "n_t")
 
 
-def spelling_variants(words: DataFrame, attested: DataFrame, *, seed: int = 1) -> DataFrame:
-    """(word, variant): an attested spelling that keeps the spelling key and changes the form, one drawn per word."""
-    low = F.lower(F.regexp_replace("word", "[^A-Za-z]+$", ""))
-    rules = F.array(*[F.struct(F.lit(n).alias("rule"), F.regexp_replace(low, p, r).alias("cand")) for n, (p, r) in enumerate(SPELLING_RULES)])
-    x = words.select("word").distinct().filter(F.length(low) >= 3).select("word", low.alias("low"), F.inline(rules))
-    x = x.filter(F.col("cand") != F.col("low")).withColumn("norm", tx.normalize(F.col("cand")))
-    ok = x.filter((tx.spelling_key(F.col("cand")) == tx.spelling_key(F.col("low"))) & (F.col("norm") != tx.normalize(F.col("low"))))
-    hits = ok.join(attested.select("norm"), "norm", "left_semi")
-    return hits.groupBy("word").agg(F.min_by("cand", tx.draw(seed, F.col("word"), F.col("rule"))).alias("variant"))
-
-
 def acceptance(tokens: DataFrame, subs: DataFrame, *, target: float, sample: int = 3000, seed: int = 11) -> DataFrame:
     """(coverage, accept): the share of drawn words with a substitute, and target / coverage capped at 1."""
     drawn = tokens.withColumn("o", tx.draw(seed, F.col("pid"), F.col("i"))).orderBy("o").limit(sample)

@@ -356,6 +356,21 @@ def auc(b: Inputs):
     return so.rank_auc(_ranking(b))
 
 
+#: Replicates of the registered query; each costs one weight per row.
+REPLICATES = 50
+_POISSON = "+".join(f"(u>={p})::INT" for p in so.POISSON)
+
+
+@query("C23_bootstrap_auc", f"""with w as (select r.rep, score, gold, case when r.rep=0 then 1 else {_POISSON} end as w from (
+     select gold, score, rep, {k.udraw("'1|'||query_id||'|'||item||'|'||rep")} as u from ranking, (select unnest(range({REPLICATES + 1})) as rep) z) r),
+   p as (select rep, score, sum(w*gold)::DOUBLE as pos, sum(w*(1-gold))::DOUBLE as neg from w group by 1,2),
+   c as (select *, sum(neg) over (partition by rep order by score rows unbounded preceding)-neg as below from p),
+   a as (select rep, sum(pos*(below+neg/2))/nullif(sum(pos)*sum(neg),0) as auc from c group by 1)
+   select round(max(case when rep=0 then auc end),6) as auc, round(stddev_pop(case when rep>0 then auc end),6) as spread, count(case when rep>0 then auc end) as replicates from a""")
+def bootstrap(b: Inputs):
+    return so.bootstrap_auc(_ranking(b), ["query_id", "item"], replicates=REPLICATES)
+
+
 @query("C24_cosine_classes", """select class, count(*) as n, round(avg(v),6) as mean from (select case when p.s is null then 'random' when y.tag='COPY' then 'COPY' when y.tag='MORPH' then 'MORPH' else 'lexical' end as class, z.v
    from sims z left join pred p on p.pair_id=z.pair_id and p.t=z.t and p.s=z.s left join words_p y on y.pair_id=p.pair_id and y.t=p.t) q group by 1""")
 def cosine_classes(b: Inputs):

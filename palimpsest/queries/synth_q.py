@@ -91,11 +91,6 @@ def replay(b: Inputs):
     return sy.variants_replay(sy.apply_edits(_edits(b)))
 
 
-@query("N6_spelling_variants")
-def spelling(b: Inputs):
-    return sy.spelling_variants(b.tokens.select(F.col("surface").alias("word")), tk.attested_forms(b.tokens))
-
-
 @query("N7_substitution_lookup", "select lemma, tag, form from subs")
 def lookup(b: Inputs):
     return _subs(b).select("lemma", "tag", "form")

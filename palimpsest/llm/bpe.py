@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import LOWER, bounded_batches, hash_spans, mix64, sizes_within, slices, spans, text_data
+from palimpsest.llm.common import LOWER, bounded_batches, equal_spans, hash_spans, mix64, sizes_within, slices, spans, text_data
 
 #: Words of more parts than this are merged with a heap.
 SHORT = 48
@@ -56,20 +56,25 @@ def byte_letters() -> list[str]:
 
 
 class _Known:
-    """Hash of a piece -> its ids, in sorted arrays. A full table forgets the pieces it has met only once
-    since they came in; those that come again are simply encoded again."""
+    """Hash of a piece -> its bytes and ids, in sorted arrays. A piece counts as known only if its bytes are the same. A
+    full table forgets the pieces it has met only once since they came in; those that come again are simply encoded again."""
 
     def __init__(self):
+        self.bytes, self.from_, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.met = np.zeros(0, bool)
         self.ids = np.zeros(0, np.uint16)
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of every key, whether it is there)"""
+    def find(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of every key, whether its piece is there, whether another piece has its place)"""
         if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), np.zeros(len(keys), bool)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+        there = self.keys[at] == keys
+        same = there & (self.size[at] == size)
+        k = np.flatnonzero(same)
+        same[k] = equal_spans(self.bytes, self.from_[at[k]], data, start[k], size[k])
+        return at, same, there & ~same
 
     def room(self, more: int) -> None:
         if len(self.keys) + more > KNOWN_PIECES:
@@ -77,17 +82,21 @@ class _Known:
             if len(keep) > KNOWN_PIECES // 2:
                 keep = keep[:0]
             self.ids = ragged(self.ids, self.at[keep], self.n[keep])
-            self.keys, self.n = self.keys[keep], self.n[keep]
-            self.at = np.cumsum(self.n) - self.n
+            self.bytes = ragged(self.bytes, self.from_[keep], self.size[keep])
+            self.keys, self.n, self.size = self.keys[keep], self.n[keep], self.size[keep]
+            self.at, self.from_ = np.cumsum(self.n) - self.n, np.cumsum(self.size) - self.size
             self.met = np.zeros(len(keep), bool)
 
-    def add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
+    def add(self, keys: np.ndarray, ids: list[np.ndarray], data: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
         n = np.array([len(i) for i in ids], np.int64)
         order = np.argsort(all_keys := np.concatenate([self.keys, keys]), kind="stable")
         self.at = np.concatenate([self.at, np.cumsum(n) - n + len(self.ids)])[order]
         self.n = np.concatenate([self.n, n])[order]
         self.met = np.concatenate([self.met, np.zeros(len(keys), bool)])[order]
         self.ids = np.concatenate([self.ids, *ids])
+        self.from_ = np.concatenate([self.from_, np.cumsum(size) - size + len(self.bytes)])[order]
+        self.size = np.concatenate([self.size, size])[order]
+        self.bytes = np.concatenate([self.bytes, ragged(data, start, size)])
         self.keys = all_keys[order]
 
 
@@ -273,31 +282,49 @@ class Bpe:
         low, start, end, odd = self._pieces(data, offsets)
         if not len(start):
             return np.zeros(0, self.wide), np.zeros(len(offsets), np.int64)
-        keys = np.where(odd, mix64(hash_spans(data, start, end)), hash_spans(low, start, end))
+        # a piece to be cut in Python is told by its bytes as they came, the others by their lower-cased ones
+        both, at_ = np.concatenate([low, data]), np.where(odd, start + len(low), start)
+        size = end - start
+        keys = hash_spans(both, at_, at_ + size)
+        keys[odd] = mix64(keys[odd])
         keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        alike = (size == size[at][back]) & (odd == odd[at][back])
+        k = np.flatnonzero(alike)
+        alike[k] = equal_spans(both, at_[k], both, at_[at][back][k], size[k])
         self.known.room(len(keys))
-        place, there = self.known.find(keys)
-        if not there.all():
-            new = np.flatnonzero(~there)
-            text, raw = low.tobytes(), data.tobytes()
-            words, count = [], []
-            for a, b, hard in zip(start[at[new]].tolist(), end[at[new]].tolist(), odd[at[new]].tolist(), strict=True):
-                some = self._words_of(raw[a:b].decode("utf-8")) if hard else [text[a:b]]
-                words += some
-                count.append(len(some))
-            ids = self.encode_words(words)
-            if len(ids) != len(new):
-                ends = np.cumsum(count).tolist()
-                none = np.zeros(0, self.wide)
-                ids = [np.concatenate([none, *ids[e - c: e]]) for c, e in zip(count, ends, strict=True)]
+        place, there, taken = self.known.find(keys, both, at_[at], size[at])
+        new = np.flatnonzero(~there & ~taken)
+        if len(new):
+            ids = self._ids_of(data, low, start[at[new]], end[at[new]], odd[at[new]])
             self.known.met[place[there]] = True
-            self.known.add(keys[new], ids)
-            place, _ = self.known.find(keys)
+            self.known.add(keys[new], ids, both, at_[at[new]], size[at[new]])
+            place, there, taken = self.known.find(keys, both, at_[at], size[at])
         else:
-            self.known.met[place] = True
-        n = self.known.n[place][back]
+            self.known.met[place[there]] = True
+        n, source, values = self.known.n[place][back], self.known.at[place][back], self.known.ids
+        # pieces whose hash belongs to other bytes are encoded apart from the table
+        odd_ones = np.flatnonzero(~alike | taken[back])
+        if len(odd_ones):
+            ids = self._ids_of(data, low, start[odd_ones], end[odd_ones], odd[odd_ones])
+            n[odd_ones] = [len(i) for i in ids]
+            source[odd_ones] = np.cumsum(n[odd_ones]) - n[odd_ones] + len(values)
+            values = np.concatenate([values, *ids])
         ends = np.concatenate([[0], np.cumsum(n)])
-        return ragged(self.known.ids, self.known.at[place][back], n), ends[np.searchsorted(start, offsets)]
+        return ragged(values, source, n), ends[np.searchsorted(start, offsets)]
+
+    def _ids_of(self, data: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray, odd: np.ndarray) -> list[np.ndarray]:
+        text, raw = low.tobytes(), data.tobytes()
+        words, count = [], []
+        for a, b, hard in zip(start.tolist(), end.tolist(), odd.tolist(), strict=True):
+            some = self._words_of(raw[a:b].decode("utf-8")) if hard else [text[a:b]]
+            words += some
+            count.append(len(some))
+        ids = self.encode_words(words)
+        if len(ids) != len(start):
+            ends = np.cumsum(count).tolist()
+            none = np.zeros(0, self.wide)
+            ids = [np.concatenate([none, *ids[e - c: e]]) for c, e in zip(count, ends, strict=True)]
+        return ids
 
     def encode_column(self, column: pa.Array, most: int = 8 << 20) -> Iterator[np.ndarray]:
         """The ids of every text of an Arrow column, in order; null is the empty text."""

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,20 +69,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _ODD = 0x9E3779B97F4A7C15
-_CODES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[list(WS_BYTES)] = True
-_CHUNK = 1 << 15
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_UP = _powers(_ODD, _CHUNK)
-_DOWN = _powers(pow(_ODD, -1, 1 << 64), _CHUNK)
+#: The bytes of a little-endian word that belong to a span of so many bytes.
+_LEADING = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+#: Spans of more bytes are hashed one by one.
+_LONG = 64
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
@@ -113,27 +106,43 @@ def spans(inside: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every span of bytes: a polynomial modulo 2^64 over random byte codes, finished by a
-    mixer, so that equal spans have equal hashes wherever they stand. Prefix sums give all spans at once;
-    powers restart every chunk, and a span over such an edge is put together from its pieces."""
-    out = np.zeros(len(starts), np.uint64)
-    n = len(data)
-    for at in range(0, n, _CHUNK):
-        stop = min(n, at + _CHUNK)
-        lo, hi = np.searchsorted(ends, at, side="right"), np.searchsorted(starts, stop, side="left")
-        if lo >= hi:
-            continue
-        sums = np.zeros(stop - at + 1, np.uint64)
-        np.cumsum(_CODES[data[at:stop]] * _UP[: stop - at], out=sums[1:])
-        s, e = starts[lo:hi] - at, ends[lo:hi] - at
-        first = s[0] < 0  # only the first span can begin in an earlier chunk
-        skip = -int(s[0]) if first else 0
-        a, b = np.maximum(s, 0), np.minimum(e, stop - at)
-        part = (sums[b] - sums[a]) * _DOWN[a]
-        if first:
-            part[:1] *= np.uint64(pow(_ODD, skip, 1 << 64))
-        out[lo:hi] += part
-    return mix64(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of every span of bytes, the same wherever a span stands. Short spans are mixed eight bytes at a
+    time, all spans at once; the mixer between two words is not linear, so texts can not cancel out as they do in sums
+    of powers. Long spans go through xxh3."""
+    size = (ends - starts).astype(np.int64)
+    out = mix64((size.astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD))
+    if not len(size):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word_at = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    live = np.flatnonzero((size > 0) & (size <= _LONG))
+    for done in range(0, _LONG, 8):
+        if not len(live):
+            break
+        left = size[live] - done
+        word = word_at[starts[live] + done] & _LEADING[np.minimum(left, 8)]
+        out[live] = mix64((out[live] ^ word) + np.uint64(_ODD))
+        live = live[left > 8]
+    long = np.flatnonzero(size > _LONG)
+    if len(long):
+        held = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(held[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
+
+
+def equal_spans(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray, most: int = 4 << 20) -> np.ndarray:
+    """Whether a[a_at[i]: a_at[i] + size[i]] equals b[b_at[i]: b_at[i] + size[i]], byte by byte."""
+    out = np.ones(len(size), bool)
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(size):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+        n = size[lo:hi]
+        owner = np.repeat(np.arange(lo, hi), n)
+        step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        out[owner[a[a_at[owner] + step] != b[b_at[owner] + step]]] = False
+        lo = hi
+    return out
 
 
 class Words:

@@ -33,18 +33,56 @@ def usable_weights(weights: dict[str, float], realised: set[str]) -> dict[str, f
     return {t: w / total for t, w in out.items()}
 
 
-def substitutes(vocabulary: DataFrame, lexicon: DataFrame, attested: DataFrame) -> DataFrame:
-    """(lemma, tag, form): attested forms that may replace a word of ``lemma``, by relation. ``vocabulary`` is (norm, lemma)."""
-    forms = vocabulary.join(attested.select("norm"), "norm", "left_semi").groupBy("lemma").agg(F.min("norm").alias("form"), F.max("norm").alias("last"))
-    tag = F.create_map(*[F.lit(x) for x in ("synonyms", "SYN", "hypernyms", "HYPER", "hyponyms", "HYPO", "antonyms", "ANT", "derivatives", "POS")])
-    rel = lexicon.select("lemma", tag[F.col("relation")].alias("tag"), F.col("other").alias("o")).join(
-        forms.select(F.col("lemma").alias("o"), "form"), "o"
-    ).select("lemma", "tag", "form")
-    morph = forms.filter("form <> last").select("lemma", F.lit("MORPH").alias("tag"), F.col("last").alias("form"))
-    hyper = lexicon.filter("relation = 'hypernyms'").select("lemma", F.col("other").alias("h"))
-    hypo = lexicon.filter("relation = 'hyponyms'").select(F.col("lemma").alias("h"), F.col("other").alias("o"))
-    sibling = hyper.join(hypo, "h").filter("lemma <> o").join(forms.select(F.col("lemma").alias("o"), "form"), "o").select("lemma", F.lit("CO-HYPO").alias("tag"), "form")
-    return rel.unionByName(morph).unionByName(sibling).groupBy("lemma", "tag").agg(F.min("form").alias("form"))
+#: Hypernyms of a lemma that the two-hop route follows.
+HYPERNYMS = 6
+TAG_OF = {"synonyms": "SYN", "hypernyms": "HYPER", "hyponyms": "HYPO", "antonyms": "ANT", "derivatives": "POS"}
+
+
+def substitution_options(
+    vocabulary: DataFrame, lexicon: DataFrame, attested: DataFrame, neighbours: DataFrame, names: DataFrame, *, max_list: int = 24
+) -> DataFrame:
+    """(lemma, tag, route, ord, form): every attested form that may replace a word of ``lemma``, by the relation's tag and
+    by the route that leads there; a route of a smaller ``ord`` goes first.
+
+    ``vocabulary`` is (norm, lemma), ``neighbours`` (lemma, other), ``names`` (norm). A form of the lexicon counts for its
+    relation, another form of the lemma for MORPH, the next name in drawn order for NE-SUB; SYN-DIST first goes up to a
+    hypernym and down to its other hyponyms, then to the neighbours in the vector space. The two hops fan out to
+    ``HYPERNYMS`` times ``max_list`` lemmas at most, as longer relation lists are no evidence and are left out."""
+    forms = vocabulary.join(attested.select("norm"), "norm", "left_semi").select("lemma", F.col("norm").alias("form")).distinct()
+    other = forms.withColumnRenamed("lemma", "other")
+    tag = F.create_map(*[F.lit(x) for kv in TAG_OF.items() for x in kv])
+
+    def option(df: DataFrame, name: Column | str, route: str, order: int) -> DataFrame:
+        name = F.lit(name) if isinstance(name, str) else name
+        return df.select("lemma", name.alias("tag"), F.lit(route).alias("route"), F.lit(order).alias("ord"), "form")
+
+    related = option(lexicon.join(other, "other"), tag[F.col("relation")], "lexicon", 0)
+    morph = option(forms.groupBy("lemma").agg(F.max("form").alias("form"), F.count("*").alias("n")).filter("n > 1"), "MORPH", "form", 0)
+    lists = lexicon.filter("relation = 'hyponyms'").groupBy("lemma").agg(F.collect_set("other").alias("down")).filter(F.size("down") <= max_list)
+    up = lexicon.filter("relation = 'hypernyms'").groupBy("lemma").agg(F.slice(F.array_sort(F.collect_set("other")), 1, HYPERNYMS).alias("up"))
+    hops = up.select("lemma", F.explode("up").alias("h")).join(lists.withColumnRenamed("lemma", "h"), "h")
+    hops = hops.select("lemma", F.explode("down").alias("other")).filter("lemma <> other").distinct()
+    sibling = option(hops.join(other, "other"), "SYN-DIST", "co-hyponym", 0)
+    close = option(neighbours.join(other, "other"), "SYN-DIST", "vector", 1)
+    known = hash_rank(names.select("norm").join(attested.select("norm"), "norm", "left_semi").distinct(), tx.draw("name", F.col("norm")))
+    n_names = known.count()
+    after = known.select((F.pmod(F.col("rn") - 2, F.lit(max(n_names, 1))) + 1).alias("rn"), F.col("norm").alias("form"))
+    named = known.withColumn("lemma", tx.lemma_standin(F.col("norm"))).filter("lemma is not null").join(after, "rn").filter("form <> norm")
+    named = option(named, "NE-SUB", "name", 0)
+    out = related
+    for part in (morph, sibling, close, named):
+        out = out.unionByName(part)
+    return out
+
+
+def substitution_routes(options: DataFrame, *, seed: int = 4) -> DataFrame:
+    """(lemma, tag, route, n_options, form): per lemma and tag the first route that leads anywhere, and one of its forms,
+    drawn. Options are distinct, so a group is counted before it is drawn from and only its least draw is kept."""
+    keyed = options.distinct().groupBy("lemma", "tag", "ord", "route").agg(
+        F.count("*").alias("n_options"), F.min_by("form", tx.draw(seed, F.col("lemma"), F.col("tag"), F.col("form"))).alias("form")
+    )
+    first = keyed.groupBy("lemma", "tag").agg(F.min_by(F.struct("route", "n_options", "form"), "ord").alias("v"))
+    return first.select("lemma", "tag", "v.route", "v.n_options", "v.form")
 
 
 def generate(seeds: DataFrame, subs: DataFrame, weights: dict[str, float], *, variants: int = 4, seed: int = 42) -> DataFrame:

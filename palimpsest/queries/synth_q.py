@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
 from palimpsest.operators import align as al
+from palimpsest.operators import lexicon as lx
 from palimpsest.operators import mining as mn
 from palimpsest.operators import synth as sy
 from palimpsest.operators import tokens as tk
@@ -15,17 +16,42 @@ from palimpsest.queries import score_q, script_q, sqlkit as k
 from palimpsest.queries.registry import query
 
 _LEM = k.lemma("norm")
-k.cte("forms", f"select lemma, min(norm) as form, max(norm) as last from (select distinct norm, {_LEM} as lemma from all_tok where norm in (select norm from attested)) z where lemma is not null group by 1")
-k.cte("subs", """select lemma, tag, min(form) as form from (
-   select l.lemma, case l.relation when 'synonyms' then 'SYN' when 'hypernyms' then 'HYPER' when 'hyponyms' then 'HYPO' when 'antonyms' then 'ANT' else 'POS' end as tag, f.form from lex l join forms f on f.lemma=l.other
-   union all select lemma, 'MORPH', last from forms where form<>last
-   union all select a.lemma, 'CO-HYPO', f.form from lex a join lex z on z.lemma=a.other and z.relation='hyponyms' join forms f on f.lemma=z.other where a.relation='hypernyms' and a.lemma<>z.other) u group by 1,2""")
+#: Nearest vector rows a lemma's row leads to, and the cosine they need.
+NEAREST, LEAST_COSINE = 2, 0.3
+k.cte("sub_forms", f"select distinct {_LEM} as lemma, norm as form from all_tok where norm in (select norm from attested) and {_LEM} is not null")
+k.cte("sub_hops", f"""select distinct a.lemma, z.other from (select lemma, other, row_number() over (partition by lemma order by other) as r from (select distinct lemma, other from lex where relation='hypernyms') x) a
+   join (select distinct lemma, other from lex where relation='hyponyms') z on z.lemma=a.other where a.r<={sy.HYPERNYMS} and z.other<>a.lemma
+   and z.lemma in (select lemma from lex where relation='hyponyms' group by 1 having count(distinct other)<=24)""")
+k.cte("sub_rows", f"select lemma, {k.bucket('(select greatest(1, count(*)*11//10) from embeddings)', 'lemma')} as vid from (select distinct {_LEM} as lemma from all_tok) z where lemma is not null")
+k.cte("sub_near", f"""select a.lemma, z.lemma as other from sub_rows a join (select a, b from (select x.vec_id as a, y.vec_id as b, row_number() over (partition by x.vec_id order by c desc, y.vec_id desc) as r from (
+     select p.vec_id as pid_, q.vec_id as qid_, list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) as c from embeddings p join embeddings q on p.vec_id<>q.vec_id) w
+     join embeddings x on x.vec_id=w.pid_ join embeddings y on y.vec_id=w.qid_ where c>={LEAST_COSINE}) v where r<={NEAREST}) n on n.a=a.vid join sub_rows z on z.vid=n.b""")
+k.cte("sub_names", f"""select norm, {_LEM} as lemma, row_number() over (order by md5('name|'||norm)) as rn, count(*) over () as n from (select distinct {k.norm('form')} as norm from names) z where norm in (select norm from attested)""")
+k.cte("sub_options", """select l.lemma, case l.relation when 'synonyms' then 'SYN' when 'hypernyms' then 'HYPER' when 'hyponyms' then 'HYPO' when 'antonyms' then 'ANT' else 'POS' end as tag, 'lexicon' as route, 0 as ord, f.form from lex l join sub_forms f on f.lemma=l.other
+   union all select lemma, 'MORPH', 'form', 0, max(form) from sub_forms group by lemma having count(*)>1
+   union all select h.lemma, 'SYN-DIST', 'co-hyponym', 0, f.form from sub_hops h join sub_forms f on f.lemma=h.other
+   union all select v.lemma, 'SYN-DIST', 'vector', 1, f.form from sub_near v join sub_forms f on f.lemma=v.other
+   union all select a.lemma, 'NE-SUB', 'name', 0, z.norm from sub_names a join sub_names z on z.rn=a.rn%a.n+1 where a.lemma is not null and z.norm<>a.norm""")
+k.cte("subs", """select lemma, tag, route, n_options, form from (select *, row_number() over (partition by lemma, tag order by ord) as r from (
+   select lemma, tag, route, ord, count(*) as n_options, min_by(form, md5('4|'||lemma||'|'||tag||'|'||form)) as form from (select distinct * from sub_options) z group by 1,2,3,4) y) x where r=1""")
+
+
+def _options(b: Inputs):
+    if not hasattr(b, "_sub_options"):
+        vocab = b.tokens.select("norm").distinct().withColumn("lemma", tx.lemma_standin(F.col("norm"))).filter("lemma is not null")
+        emb = b.table("embeddings").select(F.col("vec_id").alias("id"), F.lit("all").alias("pos"), F.col("embedding").alias("vec"))
+        near = lx.vector_neighbours(emb, threshold=LEAST_COSINE, top=NEAREST).select("a", "b")
+        n = b.table("embeddings").count()
+        rows = vocab.select("lemma").distinct().withColumn("vid", tx.bucket_draw(max(1, n * 11 // 10), F.col("lemma")).cast("long"))
+        close = rows.withColumnRenamed("vid", "a").join(near, "a").join(rows.select(F.col("lemma").alias("other"), F.col("vid").alias("b")), "b").select("lemma", "other")
+        names = b.names.select(tx.normalize(F.col("form")).alias("norm"))
+        b._sub_options = cut(sy.substitution_options(vocab, b.lexicon, tk.attested_forms(b.tokens), close, names))
+    return b._sub_options
 
 
 def _subs(b: Inputs):
     if not hasattr(b, "_subs_table"):
-        vocab = b.tokens.select("norm").distinct().withColumn("lemma", tx.lemma_standin(F.col("norm"))).filter("lemma is not null")
-        b._subs_table = cut(sy.substitutes(vocab, b.lexicon, tk.attested_forms(b.tokens)))
+        b._subs_table = cut(sy.substitution_routes(_options(b)))
     return b._subs_table
 
 
@@ -96,6 +122,16 @@ def lookup(b: Inputs):
     return _subs(b).select("lemma", "tag", "form")
 
 
+@query("N7_substitution_routes", "select lemma, tag, route, n_options from subs")
+def routes(b: Inputs):
+    return _subs(b).select("lemma", "tag", "route", "n_options")
+
+
+@query("N7_substitution_options", "select distinct lemma, tag, route, form from sub_options")
+def every_option(b: Inputs):
+    return _options(b).select("lemma", "tag", "route", "form").distinct()
+
+
 @query("N9_acceptance", f"""select round(c,6) as coverage, round(case when c>0 then least(1.0, 0.228::DOUBLE/c) else 1.0 end,6) as accept from (select avg(({_LEM} in (select lemma from subs))::INT) as c from (
    select norm from all_tok where side='r' order by md5('11|'||pid||'|'||i) limit 3000) z where true) y""".replace(f"avg(({_LEM} in (select lemma from subs))::INT)", f"avg(coalesce({_LEM} in (select lemma from subs),false)::INT)"))
 def acceptance(b: Inputs):

@@ -236,6 +236,22 @@ def hungarian(rows: DataFrame) -> DataFrame:
     return easy.unionByName(_solve(hard, nulls=True))
 
 
+def assignment_cost(links: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(pair_id, links, cost) of an assignment over (pair_id, t, s, cost): what has to be least, whichever of several equally
+    good assignments was taken. Every pair with candidates has a row."""
+    cheapest = candidates.groupBy("pair_id", "t", "s").agg(F.min("cost").alias("cost"))
+    taken = links.select("pair_id", "t", "s", F.lit(1).alias("k"))
+    x = cheapest.join(taken, ["pair_id", "t", "s"], "left")
+    return x.groupBy("pair_id").agg(F.count("k").alias("links"), F.coalesce(F.sum(F.when(F.col("k") == 1, F.col("cost"))), F.lit(0.0)).alias("cost"))
+
+
+def assignment_value(links: DataFrame, rows: DataFrame) -> DataFrame:
+    """(pair_id, value): the summed probability of an assignment, an unlinked word counting with its null."""
+    linked = links.select("pair_id", "t", F.col("s").alias("_s"))
+    x = rows.join(linked, ["pair_id", "t"], "left").filter(F.col("s") == F.coalesce("_s", F.lit(-1)))
+    return x.groupBy("pair_id").agg(F.round(F.sum("p"), 6).alias("value"))
+
+
 def head_above_null(rows: DataFrame) -> DataFrame:
     best = best_cell(rows.filter("s >= 0"), "t", "s", larger_index=False)
     return best.join(null_of(rows), ["pair_id", "t"], "left").filter(

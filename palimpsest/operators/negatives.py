@@ -28,29 +28,41 @@ def author_index(corpus: DataFrame) -> DataFrame:
     return ranked.join(sizes, "author")
 
 
+def first_usable_from(asked: DataFrame, index: DataFrame, attested: DataFrame, *, width: int = 16, **lengths) -> DataFrame:
+    """The first usable passage of the author from each row's place on, in drawn order and around its end.
+
+    ``asked`` is (key columns..., author, query_txt, n_q, k0, n_author) with one row per ``_id``; ``index`` comes from
+    :func:`author_index`. Rows look at ``width`` passages, those without luck at eight times as many, and so on: only rows
+    still without a passage are joined again, and never with more than what they have not seen. A row is left out only
+    if none of the author's passages is usable."""
+    passages = index.select("author", "k", "pid", "txt", "n")
+    out, seen, left = None, 0, asked
+    while True:
+        offsets = F.explode(F.sequence(F.lit(seen), F.least(F.lit(seen + width), F.col("n_author")) - 1))
+        near = left.filter(F.col("n_author") > seen).withColumn("_off", offsets)
+        near = near.withColumn("k", F.pmod(F.col("k0") - 1 + F.col("_off"), F.col("n_author")) + 1).join(passages, ["author", "k"])
+        found = cut(usable(near, attested, **lengths).groupBy("_id").agg(F.min_by(F.struct("pid", "txt"), "_off").alias("v")).select("_id", "v.*"))
+        out = found if out is None else out.unionByName(found)
+        seen, width = seen + width, width * 8
+        left = cut(left.join(found.select("_id"), "_id", "left_anti").filter(F.col("n_author") > seen))
+        if is_empty(left):
+            return out
+
+
 def easy(rows: DataFrame, corpus: DataFrame, attested: DataFrame, *, tries: int = 4, seed: int = 0) -> DataFrame:
-    """A drawn passage of a cited author per row: the first usable one of ``tries`` draws. Rows whose draws all fail
-    rank all passages of the author by draw instead, so a row is left out only if none of them is usable."""
+    """A drawn passage of a cited author per row: the first usable one of ``tries`` draws. Rows whose draws all fail go on
+    from their first draw in the author's drawn order, so a row is left out only if no passage of the author is usable."""
     index = author_index(corpus)
     sizes = index.groupBy("author").agg(F.max("n_author").alias("n_author"))
-    drawn = (
-        rows.select("id", "author", "query_txt", "n_q", F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("a"))
-        .join(sizes, "author")
-        .withColumn(
-            "k",
-            F.floor(tx.unit_draw(seed, F.col("id"), F.col("a")) * F.col("n_author")).cast("long") + 1,
-        )
-        .drop("n_author")
-    )
-    cands = drawn.join(index.select("author", "k", "pid", "txt", "n"), ["author", "k"])
-    ok = usable(cands, attested)
+    asked = rows.select("id", "author", "query_txt", "n_q").join(sizes, "author")
+    place = lambda a: F.floor(tx.unit_draw(seed, F.col("id"), a) * F.col("n_author")).cast("long") + 1
+    drawn = asked.withColumn("a", F.explode(F.sequence(F.lit(1), F.lit(tries)))).withColumn("k", place(F.col("a"))).drop("n_author")
+    ok = usable(drawn.join(index.select("author", "k", "pid", "txt", "n"), ["author", "k"]), attested)
     first = ok.groupBy("id").agg(F.min_by(F.struct("pid"), "a").alias("v")).select("id", "v.pid")
-    left = cut(rows.select("id", "author", "query_txt", "n_q").join(first, "id", "left_anti"))
+    left = cut(asked.join(first, "id", "left_anti").withColumn("k0", place(F.lit(1))).withColumn("_id", F.col("id")))
     if is_empty(left):
         return first
-    rest = usable(left.join(index.select("author", "pid", "txt", "n"), "author"), attested)
-    drawn = F.min_by(F.struct("pid"), F.struct(tx.draw(seed, F.col("id"), F.col("pid")), F.col("pid")))
-    return first.unionByName(rest.groupBy("id").agg(drawn.alias("v")).select("id", "v.pid"))
+    return first.unionByName(first_usable_from(left, index, attested).select(F.col("_id").alias("id"), "pid"))
 
 
 def lexical(rows: DataFrame, corpus: DataFrame, attested: DataFrame) -> DataFrame:
@@ -124,25 +136,22 @@ def author_mismatch(
 ) -> DataFrame:
     """Pairs of a query and a labelled source of an author it cites, not attested; ``n`` in drawn order.
 
-    ``queries`` is (query_txt, author), ``sources`` (author, pid, txt, n).
+    ``queries`` is (query_txt, author), ``sources`` (author, pid, txt, n). Every usable one of ``tries`` draws counts; a query
+    whose draws all fail takes the first usable source from its first draw on.
     """
+    lengths = {"min_tokens": 4, "max_tokens": 1 << 30}
     ranked = hash_rank(sources, tx.draw(seed, F.col("pid")), "k", by=["author"])
     sizes = sources.groupBy("author").agg(F.count("*").alias("n_author"))
-    drawn = (
-        queries.distinct()
-        .join(sizes, "author")
-        .select(
-            "query_txt", "author", "n_author", F.size(tx.words(F.col("query_txt"))).alias("n_q"),
-            F.explode(F.sequence(F.lit(1), F.lit(tries))).alias("a"),
-        )
-        .withColumn(
-            "k",
-            F.floor(tx.unit_draw(seed, F.col("query_txt"), F.col("author"), F.col("a")) * F.col("n_author")).cast("long") + 1,
-        )
-    )
-    cands = drawn.join(ranked.select("author", "k", "pid", "txt", "n"), ["author", "k"])
-    ok = usable(cands, attested, min_tokens=4, max_tokens=1 << 30)
-    once = ok.select("query_txt", "author", "pid", "txt").distinct()
+    asked = queries.distinct().join(sizes, "author").withColumn("n_q", F.size(tx.words(F.col("query_txt"))))
+    place = lambda a: F.floor(tx.unit_draw(seed, F.col("query_txt"), F.col("author"), a) * F.col("n_author")).cast("long") + 1
+    drawn = asked.withColumn("a", F.explode(F.sequence(F.lit(1), F.lit(tries)))).withColumn("k", place(F.col("a")))
+    ok = usable(drawn.join(ranked.select("author", "k", "pid", "txt", "n"), ["author", "k"]), attested, **lengths)
+    once = cut(ok.select("query_txt", "author", "pid", "txt").distinct())
+    left = cut(asked.join(once.select("query_txt", "author"), ["query_txt", "author"], "left_anti").withColumn("k0", place(F.lit(1))))
+    if not is_empty(left):
+        left = left.withColumn("_id", F.struct("query_txt", "author"))
+        more = first_usable_from(left, ranked, attested, **lengths)
+        once = once.unionByName(more.select("_id.query_txt", "_id.author", "pid", "txt"))
     return once.withColumn("o", tx.draw(seed, F.col("query_txt"), F.col("pid"))).orderBy("o").limit(n)
 
 

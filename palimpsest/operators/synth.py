@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as tx
-from palimpsest.plans.lineage import hash_rank
+from palimpsest.plans.lineage import cut, hash_rank
 
 # How often each change is drawn, and the structural ones that need no lexicon.
 WEIGHTS = {
@@ -147,21 +147,23 @@ def acceptance(tokens: DataFrame, subs: DataFrame, *, target: float, sample: int
 def select_pool(pool: DataFrame, size: int, rare: tuple[str, ...], *, rare_min: int, seed: int = 1) -> DataFrame:
     """(id, why): per rare tag in order up to ``rare_min`` pairs that hold it, then a drawn fill up to ``size``.
 
-    ``pool`` is (id, tags ARRAY). Each round is a bounded top-n over what is left.
-    """
-    keyed = pool.withColumn("o", tx.draw(seed, F.col("id")))
-    chosen = None
+    ``pool`` is (id, tags ARRAY). Pairs that hold the same rare tags differ in their draw alone, so only the first ``size``
+    of each such class can ever be taken: one pass over the pool keeps those, and the rounds, each of which depends on
+    the one before, run over that bounded remainder, every row of which is read once more to be marked."""
+    has = F.filter(F.array(*[F.when(F.array_contains("tags", t), F.lit(t)) for t in rare]), lambda t: t.isNotNull())
+    keyed = pool.select("id", has.alias("has"), tx.draw(seed, F.col("id")).alias("o"))
+    first = F.row_number().over(W.partitionBy("has").orderBy("o"))
+    left = cut(keyed.withColumn("k", first).filter(F.col("k") <= size).drop("k").withColumn("why", F.lit(None).cast("string")))
     taken = 0
     for tag in (*rare, None):
-        rest = keyed if chosen is None else keyed.join(chosen.select("id"), "id", "left_anti")
         want = size - taken if tag is None else min(rare_min, size - taken)
         if want <= 0:
             continue
-        pick = (rest if tag is None else rest.filter(F.array_contains("tags", tag))).orderBy("o").limit(want)
-        pick = pick.select("id", F.lit(tag or "fill").alias("why"))
-        taken += pick.count()
-        chosen = pick if chosen is None else chosen.unionByName(pick)
-    return chosen
+        open_ = F.col("why").isNull() & (F.lit(True) if tag is None else F.array_contains("has", tag))
+        last = left.filter(open_).select("o").orderBy("o").limit(want).agg(F.max("o").alias("o"), F.count("*").alias("n")).first()
+        taken += last["n"]
+        left = cut(left.withColumn("why", F.when(open_ & (F.col("o") <= F.lit(last["o"])), F.lit(tag or "fill")).otherwise(F.col("why"))))
+    return left.filter("why is not null").select("id", "why")
 
 
 def swap_halves(words: DataFrame, *, min_words: int = 6) -> DataFrame:

@@ -158,8 +158,8 @@ def annotate(
 
 
 def coverage_summary(annotated: DataFrame) -> DataFrame:
-    """Per passage: how many words the tables know something about."""
-    return annotated.groupBy("pid").agg(
+    """Per passage of either side: how many words the tables know something about."""
+    return annotated.groupBy("side", "pid").agg(
         F.count("*").alias("tokens"),
         F.count("lemma").alias("lemmatized"),
         F.count("pos").alias("with_features"),

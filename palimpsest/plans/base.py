@@ -281,6 +281,11 @@ class Inputs:
         return self.keep(self.evidence.filter("cos_missing = 0").select("pair_id", "t", "s", "n_r", "n_s", F.round("cos", 9).alias("v"))
                          .repartition(self.n_parts, "pair_id"))
 
+    def evidence_of(self, links: DataFrame) -> DataFrame:
+        """The evidence of the cells of any ``links`` (pair_id, t, s), whether or not they are candidate cells."""
+        keys = links.select("pair_id", "t", "s").distinct()
+        return self._features(evidence.cell_facts(self.rwords, self.swords, self.facts).join(keys, ["pair_id", "t", "s"], "left_semi"))
+
     @cached_property
     def cell_evidence(self) -> DataFrame:
         """The evidence of the scored candidate cells, whatever it says."""

@@ -21,6 +21,26 @@ def greedy_sql(cells: str, order: str, cap: int = 1) -> str:
    select pair_id, unnest(ts)::INT as t, unnest(ss)::INT as s from ge where k=1"""
 
 
+def best_value_sql(cells: str, out: str) -> str:
+    """The greatest sum of ``p`` over one-to-one choices of (pair_id, t, s, p), s = -1 being a word's own null: word by word
+    over all sets of sources that are taken and that a later word could still want. No solver's choice enters it."""
+    return f"""with recursive vc as materialized (select pair_id, t, s, p, dense_rank() over (partition by pair_id order by t) as i from ({cells}) z0),
+   vw as materialized (select pair_id, i, coalesce(bit_or(m) over (partition by pair_id order by i desc rows between unbounded preceding and 1 preceding),0) as live, max(i) over (partition by pair_id) as n
+     from (select pair_id, i, bit_or(case when s>=0 then 1::BIGINT<<s else 0 end) as m from vc group by 1,2) z1),
+   vd as (select pair_id, 0::BIGINT as i, 0::BIGINT as mask, 0.0::DOUBLE as v from (select distinct pair_id from vc) z2
+     union all
+     select pair_id, i, mask, max(v) from (select d.pair_id, w.i, (d.mask | case when x.s>=0 then 1::BIGINT<<x.s else 0 end) & w.live as mask, d.v+x.p as v
+       from vd d join vw w on w.pair_id=d.pair_id and w.i=d.i+1 join vc x on x.pair_id=w.pair_id and x.i=w.i where x.s<0 or d.mask & (1::BIGINT<<x.s)=0) z3 group by 1,2,3)
+   select d.pair_id, {out} from vd d join vw w on w.pair_id=d.pair_id and w.i=d.i and w.i=w.n group by 1"""
+
+
+@query("A1_optimal_value", best_value_sql("select pair_id, t, s, (1000000-(1000-wgt))::DOUBLE as p from cells union all select distinct pair_id, t, -1, 0.0::DOUBLE from cells",
+    "ceil(max(d.v)/1000000.0)::BIGINT as links, (ceil(max(d.v)/1000000.0)*1000000-max(d.v))::DOUBLE as cost"))
+def optimal_value(b: Inputs):
+    cells = b.cells.select("pair_id", "t", "s", (1000 - F.col("wgt")).cast("double").alias("cost"))
+    return al.assignment_cost(al.optimal_pairs(cells), cells)
+
+
 @query("A1_optimal_assignment")
 def optimal(b: Inputs):
     return al.optimal_pairs(b.cells.select("pair_id", "t", "s", (1000 - F.col("wgt")).cast("double").alias("cost")))
@@ -65,6 +85,11 @@ def greedy_best(b: Inputs):
     return al.greedy_best_cell(b.fwd, 0.3)
 
 
+@query("A5_hungarian_value", best_value_sql("select pair_id, t, s, p from fwd", "round(max(d.v),6) as value"))
+def hungarian_value(b: Inputs):
+    return al.assignment_value(al.hungarian(b.fwd), b.fwd)
+
+
 @query("A5_hungarian_with_nulls")
 def hungarian(b: Inputs):
     return al.hungarian(b.fwd)
@@ -90,6 +115,11 @@ def threshold_decode(b: Inputs):
     return al.threshold_decode(al.average(b.fwd, b.rev), 0.4).select("pair_id", "t", "s")
 
 
+@query("A8_default_value", best_value_sql("select pair_id, t, s, p from sym where s<0 or p>=0.4", "round(max(d.v),6) as value"))
+def default_value(b: Inputs):
+    return al.assignment_value(al.default_decode(b.fwd, b.rev, 0.4), al.with_threshold(al.average(b.fwd, b.rev), 0.4))
+
+
 @query("A8_default_decode")
 def default(b: Inputs):
     return al.default_decode(b.fwd, b.rev, 0.4)

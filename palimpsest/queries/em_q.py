@@ -127,15 +127,28 @@ def staged(b: Inputs):
 
 @query("A40_stored_rows_redecoded")
 def stored(b: Inputs):
-    rows = al.ensemble(b.fwd, ev.resource_rows(b.tiers, b.rwords), b.gold, beta=0.1)
-    links = al.hungarian(al.with_threshold(rows, 0.3))
-    return ty.rule_type(links, b.cell_evidence).select("pair_id", "t", "s", "tag")
+    return _redecoded(b)[1].select("pair_id", "t", "s", "tag")
+
+
+def _redecoded(b: Inputs):
+    """The rows of the stored predictions, decoded anew, and the links with their types; no link is left without one."""
+    if not hasattr(b, "_redecoded"):
+        rows = cut(al.with_threshold(al.ensemble(b.fwd, ev.resource_rows(b.tiers, b.rwords), b.gold, beta=0.1), 0.3))
+        links = cut(al.hungarian(rows))
+        b._redecoded = rows, cut(ty.rule_type(links, b.evidence_of(links))), links
+    return b._redecoded
+
+
+@query("A40_links_lost", "select 0::BIGINT as lost")
+def links_lost(b: Inputs):
+    _, typed, links = _redecoded(b)
+    return links.join(typed.select("pair_id", "t", "s"), ["pair_id", "t", "s"], "left_anti").agg(F.count("*").alias("lost"))
 
 
 @query("A43_self_training_edges")
 def self_training(b: Inputs):
     edges = al.framed_edges(al.agreed_edges(b.fwd, b.rev, b.rwords, b.swords, tau=0.5, tau_changed=0.3))
-    typed = ty.rule_type(edges, b.cell_evidence).select("pair_id", "t", "s", "tag")
+    typed = ty.rule_type(edges, b.evidence_of(edges)).select("pair_id", "t", "s", "tag")
     words = b.rwords.join(edges.select("pair_id", "t", "s"), ["pair_id", "t"], "left").select(
         "pair_id", "n_s", "n_r", "t", "word", "norm", F.coalesce("s", F.lit(-1)).alias("s"), F.when(F.col("s").isNull(), "INS").otherwise("SUBST").alias("tag"), F.lit(0).alias("frame"))
     ok = sc.replays(sc.decode_script(cut(words), b.swords), b.pairs).filter("ok")

@@ -38,9 +38,9 @@ def candidates(b: Inputs):
     return tk.candidates(_vocab(b), asked)
 
 
-_ANN = f"""select t.pid, t.i, t.surface, t.norm, {_LEM} as lemma, {_POS} as pos,
+_ANN = f"""select t.side, t.pid, t.i, t.surface, t.norm, {_LEM} as lemma, {_POS} as pos,
    regexp_replace(surface,'[^\\p{{L}}]','','g') in (select form from names) and regexp_matches(regexp_replace(surface,'[^\\p{{L}}]','','g'),'^\\p{{Lu}}') as is_name,
-   t.norm in {k.STOP} as is_stop, e.enclitic from all_tok t left join (select surface as es, enclitic from encs) e on e.es=t.surface where side='s'"""
+   t.norm in {k.STOP} as is_stop, e.enclitic from all_tok t left join (select surface as es, enclitic from encs) e on e.es=t.surface"""
 k.cte("encs", f"""select surface, enclitic, stem from (select *, row_number() over (partition by surface order by o) as rk from (
    select surface, o, e as enclitic, left(cl, length(cl)-length(e)) as stem, {k.norm('left(cl, length(cl)-length(e))')} as stem_norm from (
      select surface, cl, unnest([0,1,2,3]) as o, unnest(['que','ue','ve','ne']) as e from (
@@ -55,7 +55,7 @@ def _enclitics(b: Inputs):
 
 
 def _annotated(b: Inputs):
-    toks = b.tokens.filter("side = 's'").select("pid", "i", "surface", "norm").withColumn("clean", tk.clean_form(F.col("surface")))
+    toks = b.tokens.select("side", "pid", "i", "surface", "norm").withColumn("clean", tk.clean_form(F.col("surface")))
     lem = b.tokens.select("norm").distinct().withColumn("lemma", tx.lemma_standin(F.col("norm"))).withColumn("pos", tx.pos_standin(F.col("lemma")))
     names = b.names.filter(F.col("form").rlike(r"^\p{Lu}"))
     return tk.annotate(toks, lem, names, _enclitics(b))
@@ -63,11 +63,11 @@ def _annotated(b: Inputs):
 
 @query("T10_annotations", _ANN)
 def annotations(b: Inputs):
-    return _annotated(b).select("pid", "i", "surface", "norm", "lemma", "pos", "is_name", "is_stop", "enclitic")
+    return _annotated(b).select("side", "pid", "i", "surface", "norm", "lemma", "pos", "is_name", "is_stop", "enclitic")
 
 
-@query("T10_coverage", f"""select pid, count(*) as tokens, count(lemma) as lemmatized, count(pos) as with_features, count(*) filter (is_name) as proper_names,
-   count(*) filter (is_stop) as function_words, count(enclitic) as with_enclitic, round(count(pos)::DOUBLE/count(*),6) as feature_coverage from ({_ANN}) z group by pid""")
+@query("T10_coverage", f"""select side, pid, count(*) as tokens, count(lemma) as lemmatized, count(pos) as with_features, count(*) filter (is_name) as proper_names,
+   count(*) filter (is_stop) as function_words, count(enclitic) as with_enclitic, round(count(pos)::DOUBLE/count(*),6) as feature_coverage from ({_ANN}) z group by side, pid""")
 def coverage(b: Inputs):
     return tk.coverage_summary(_annotated(b))
 

@@ -113,11 +113,12 @@ def localised(b: Inputs):
 
 _TRIES = """select r.id, r.query_txt, r.n_q, r.author, a from neg_rows r, (select unnest([1,2,3,4]) a) t"""
 _OK = """c.n between 6 and 60 and d.n_q between 6 and 60 and not exists (select 1 from attested_pairs x where x.txt=c.txt and x.query_txt=d.query_txt)"""
-k.cte("neg_easy", f"""select id, pid from (select d.id, c.pid, row_number() over (partition by d.id order by d.a) as o
-   from (select t.*, z.n_author, floor({k.udraw("'0|'||t.id||'|'||t.a")}*z.n_author)::BIGINT+1 as k from ({_TRIES}) t
-     join (select author, count(*) n_author from reu_p group by author) z using(author)) d
-   join (select *, row_number() over (partition by author order by md5('easy|'||pid)) as k from reu_p) c on c.author=d.author and c.k=d.k
-   where {_OK}) y where o=1""")
+k.cte("neg_index", "select *, row_number() over (partition by author order by md5('easy|'||pid)) as k, count(*) over (partition by author) as n_author from reu_p")
+k.cte("neg_draws", f"""select t.*, floor({k.udraw("'0|'||t.id||'|'||t.a")}*z.n_author)::BIGINT+1 as k from ({_TRIES}) t join (select author, count(*) n_author from reu_p group by author) z using(author)""")
+k.cte("neg_first", f"""select id, pid from (select d.id, c.pid, row_number() over (partition by d.id order by d.a) as o from neg_draws d join neg_index c on c.author=d.author and c.k=d.k where {_OK}) y where o=1""")
+k.cte("neg_easy", f"""select id, pid from neg_first union all
+   select id, pid from (select d.id, c.pid, row_number() over (partition by d.id order by (c.k-d.k+c.n_author)%c.n_author) as o
+     from neg_draws d join neg_index c on c.author=d.author where d.a=1 and d.id not in (select id from neg_first) and {_OK}) y where o=1""")
 k.cte("neg_lexical", f"""select id, pid, n_shared from (select d.id, c.pid, s.n_shared,
      row_number() over (partition by d.id order by s.n_shared desc, c.pid) as o
    from neg_rows d join (select q.id, f.pid, count(*) as n_shared from
@@ -178,15 +179,18 @@ def batch(b: Inputs):
     return _batch(b)
 
 
+_OK16 = "c.n>=4 and d.n_q>=4 and not exists (select 1 from attested_pairs x where x.txt=c.txt and x.query_txt=d.query_txt)"
+
+
 @query("M16_author_mismatch", f"""with src as (select distinct author, r_pid as pid, r_txt as txt, n_r as n from pairs where fold<>0),
-   dr as (select q.query_txt, q.author, len(string_split(q.query_txt,' ')) as n_q,
-      floor({k.udraw("'42|'||q.query_txt||'|'||q.author||'|'||a")}*z.n_author)::BIGINT+1 as k
+   ranked as materialized (select *, row_number() over (partition by author order by md5('42|'||pid)) k, count(*) over (partition by author) as n_author from src),
+   dr as materialized (select q.query_txt, q.author, len(string_split(q.query_txt,' ')) as n_q, a, floor({k.udraw("'42|'||q.query_txt||'|'||q.author||'|'||a")}*z.n_author)::BIGINT+1 as k
      from (select distinct s_txt as query_txt, author from pairs where fold<>0) q
-     join (select author, count(*) n_author from src group by author) z using(author), (select unnest([1,2,3]) a) t)
-   select query_txt, author, pid from (select distinct d.query_txt, d.author, c.pid, c.txt from dr d
-     join (select *, row_number() over (partition by author order by md5('42|'||pid)) k from src) c on c.author=d.author and c.k=d.k
-     where c.n>=4 and d.n_q>=4 and not exists (select 1 from attested_pairs x where x.txt=c.txt and x.query_txt=d.query_txt)) z
-   order by md5('42|'||query_txt||'|'||pid) limit 150""")
+     join (select author, count(*) n_author from src group by author) z using(author), (select unnest([1,2,3]) a) t),
+   hit as materialized (select distinct d.query_txt, d.author, c.pid from dr d join ranked c on c.author=d.author and c.k=d.k where {_OK16}),
+   more as (select query_txt, author, pid from (select d.query_txt, d.author, c.pid, row_number() over (partition by d.query_txt, d.author order by (c.k-d.k+c.n_author)%c.n_author) as o
+     from dr d join ranked c on c.author=d.author where d.a=1 and (d.query_txt, d.author) not in (select query_txt, author from hit) and {_OK16}) y where o=1)
+   select query_txt, author, pid from (select * from hit union all select * from more) z order by md5('42|'||query_txt||'|'||pid) limit 150""")
 def mismatch(b: Inputs):
     train = b.pairs.filter("fold <> 0")
     src = train.select("author", F.col("r_pid").alias("pid"), F.col("r_txt").alias("txt"), F.col("n_r").alias("n")).distinct()

@@ -167,7 +167,7 @@ def structure(b: Inputs):
     return so.with_prf(out)
 
 
-@query("C7_reorder_score")
+@query("C7_reorder_score", f"""select tp, fp, fn, {PRF()} from (select {_CNT} from (select {_ITEM} from (select pair_id, t from moved_g) g full join (select pair_id, t from moved) p on p.pair_id=g.pair_id and p.t=g.t) i) x""")
 def reorder_score(b: Inputs):
     return so.with_prf(so.compare_sets(sc.reordered(b.gold), sc.reordered(b.pred), ["pair_id", "t"]))
 

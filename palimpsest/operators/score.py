@@ -87,6 +87,45 @@ def script_metrics(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return with_prf(align.unionByName(typed).unionByName(per))
 
 
+def script_summary(gold: DataFrame, pred: DataFrame, trivial: DataFrame, replayed: DataFrame) -> DataFrame:
+    """(metric, value): two sets of scripts compared as a whole.
+
+    Alignment and typed scores; the same for the two floors, the script that copies place by place and the one that explains
+    nothing (``trivial``: method, pair_id, tag, s, t); the mean F1 over the operations gold holds; links told exactly
+    and links whose source is used at all; pairs without a script, which match nothing; and the share of scripts that write
+    the reuse (``replayed``: pair_id, ok)."""
+    g, p = script_items(gold), script_items(pred)
+    keys = ["pair_id", "s", "t", "tag"]
+    sides = {
+        "alignment": (g.select(*keys[:3]), p.select(*keys[:3]), keys[:3]), "typed": (g, p, keys),
+        "copy_only": (g, trivial.filter("method = 'copy_only'"), keys), "degenerate": (g, trivial.filter("method = 'degenerate'"), keys),
+    }
+    rows = None
+
+    def add(df: DataFrame) -> None:
+        nonlocal rows
+        rows = df if rows is None else rows.unionByName(df)
+
+    for name, (a, b, by) in sides.items():
+        prf_ = with_prf(compare_sets(a, b, by))
+        add(prf_.select(*[F.col(c).alias(f"{name} {c}") for c in ("precision", "recall", "f1")]).unpivot([], [f"{name} {c}" for c in ("precision", "recall", "f1")], "metric", "value"))
+    per = compare_sets(g, p, keys, ["tag"]).filter("tp + fn > 0")
+    f1 = F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0)
+    add(per.agg(F.round(F.avg(f1), 6).alias("value")).select(F.lit("macro typed f1").alias("metric"), "value"))
+    link = lambda df: df.filter("s >= 0 and t >= 0").groupBy("pair_id", "t").agg(F.min("s").alias("s"))
+    gl, pl = link(g), link(p)
+    used = pl.select("pair_id", "s").distinct().withColumn("used", F.lit(1))
+    x = gl.join(pl.select("pair_id", "t", F.col("s").alias("ps")), ["pair_id", "t"], "left").join(used, ["pair_id", "s"], "left")
+    add(x.agg(
+        F.round(F.avg(F.coalesce(F.col("ps") == F.col("s"), F.lit(False)).cast("int")), 6).alias("link strict"),
+        F.round(F.avg(F.coalesce("used", F.lit(0))), 6).alias("link lenient"),
+    ).unpivot([], ["link strict", "link lenient"], "metric", "value"))
+    missing = gold.select("pair_id").distinct().join(pred.select("pair_id").distinct(), "pair_id", "left_anti")
+    add(missing.agg(F.count("*").cast("double").alias("value")).select(F.lit("invalid").alias("metric"), "value"))
+    add(replayed.agg(F.round(F.avg(F.col("ok").cast("double")), 6).alias("value")).select(F.lit("exec match").alias("metric"), "value"))
+    return rows
+
+
 def token_accuracy(words: DataFrame, gold: DataFrame, pred: DataFrame) -> DataFrame:
     """One decision per reuse word; "none" is a class; a merely possible link counts as right. ``gold`` has
     (pair_id, t, s, sure). Returns (pair_id, right, total)."""

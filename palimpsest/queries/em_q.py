@@ -18,6 +18,11 @@ from palimpsest.queries.registry import query
 _U = lambda n, w: f"case when {n}<>'' then {n} else lower({w}) end"
 k.cte("em_cells", f"""select pair_id, n_s, n_r, t, s, {_U('sn','sw')} as ws, {_U('rn','rw')} as wt from grid
    union all select pair_id, n_s, n_r, t, -1, '<null>', {_U('norm','word')} from rwords""")
+k.cte("em_cells_rev", f"""select pair_id, n_r as n_s, n_s as n_r, s as t, t as s, {_U('rn','rw')} as ws, {_U('sn','sw')} as wt from grid
+   union all select pair_id, n_r, n_s, s, -1, '<null>', {_U('norm','word')} from swords""")
+_L = lambda n, w: f"coalesce({k.lemma(n)}, {_U(n, w)})"
+k.cte("em_cells_lem", f"""select pair_id, n_s, n_r, t, s, {_L('sn','sw')} as ws, {_L('rn','rw')} as wt from grid
+   union all select pair_id, n_s, n_r, t, -1, '<null>', {_L('norm','word')} from rwords""")
 STOP = ("the", "of", "and", "to", "in", "a", "is", "de", "la", "der", "que", "le")
 
 
@@ -78,6 +83,24 @@ def predict(b: Inputs):
     return em.predict_heads(_cells(b), _lexical(b)[0]).withColumn("p", F.round("p", 6))
 
 
+_HEADS = _em_sql(5, f"""select pair_id, t, s, round(p,6) as p from (select *, row_number() over (partition by pair_id, t order by round(p,9) desc, {_PR}) as k from (
+   select pair_id, t, s, theta/sum(theta) over (partition by pair_id, t) as p from em_cells join th5 using(ws, wt)) a) z where k=1""")
+
+
+@query("A30_em_reverse_heads", _HEADS.replace("em_cells", "em_cells_rev"))
+def reverse_heads(b: Inputs):
+    """The other direction: which reuse word explains every source word. ``t`` counts source words here."""
+    words = b.swords.select("pair_id", F.col("n_r").alias("n_s"), F.col("n_s").alias("n_r"), F.col("s").alias("t"), "word", "norm")
+    cells = cut(em.em_cells(em.turned(b.grid), words).repartition(b.n_parts, "pair_id"))
+    return em.predict_heads(cells, em.fit_lexical(cells)[0]).withColumn("p", F.round("p", 6))
+
+
+@query("A30_em_lemma_heads", _HEADS.replace("em_cells", "em_cells_lem"))
+def lemma_heads(b: Inputs):
+    cells = cut(em.em_cells(b.grid, b.rwords, lemmas=True).repartition(b.n_parts, "pair_id"))
+    return em.predict_heads(cells, em.fit_lexical(cells)[0]).withColumn("p", F.round("p", 6))
+
+
 @query("A30_identity_dictionary", "select w, unnest([1,2]) as copy from (select distinct ws as w from em_cells where s>=0 intersect select distinct wt from em_cells) z")
 def identity(b: Inputs):
     return em.identity_dictionary(_cells(b), 2)

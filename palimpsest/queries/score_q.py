@@ -75,6 +75,34 @@ def script_metrics(b: Inputs):
     return so.script_metrics(_gold_script(b), b.script)
 
 
+_TRIVIAL = """select 'copy_only' as method, pair_id, 'NOP' as tag, i as s, i as t from (select pair_id, unnest(range(least(n_s,n_r)))::INT as i from pairs) a
+   union all select 'copy_only', pair_id, 'INS', -1, i from (select pair_id, unnest(range(least(n_s,n_r), n_r))::INT as i from pairs) b
+   union all select 'copy_only', pair_id, 'DEL', i, -1 from (select pair_id, unnest(range(least(n_s,n_r), n_s))::INT as i from pairs) c
+   union all select 'degenerate', pair_id, 'DEL', s, -1 from swords union all select 'degenerate', pair_id, 'INS', -1, t from rwords"""
+_FLOOR = "select {i} from items_g g full join (select * from ({t}) z where method='{m}') p on p.pair_id=g.pair_id and p.t=g.t and p.s=g.s and p.tag=g.tag"
+_THREE = "unnest(['{n} precision','{n} recall','{n} f1']) as metric, unnest([precision, recall, f1]) as value"
+
+
+def _counted(name: str, items: str) -> str:
+    return f"select {_THREE.format(n=name)} from (select {PRF()} from (select {_CNT} from ({items}) i) c) d"
+
+
+k.cte("replay_ok", script_q.replay_sql("select pair_id, ok from v"))
+
+
+@query("C2_script_summary", f"""with ti as ({_TI}), ai as (select {_ITEM} from (select distinct pair_id, s, t from items_g) g full join (select distinct pair_id, s, t from items_p) p on p.pair_id=g.pair_id and p.t=g.t and p.s=g.s),
+   ot as (select tag, {_CNT} from ti group by tag), gl as (select pair_id, t, min(s) as s from items_g where s>=0 and t>=0 group by 1,2), pl as (select pair_id, t, min(s) as s from items_p where s>=0 and t>=0 group by 1,2),
+   lk as (select avg(coalesce(p.s=g.s,false)::INT) as strict, avg(((g.pair_id, g.s) in (select pair_id, s from pl))::INT) as lenient from gl g left join pl p on p.pair_id=g.pair_id and p.t=g.t)
+   {_counted('alignment', 'select * from ai')} union all {_counted('typed', 'select * from ti')}
+   union all {_counted('copy_only', _FLOOR.format(i=_ITEM, t=_TRIVIAL, m='copy_only'))} union all {_counted('degenerate', _FLOOR.format(i=_ITEM, t=_TRIVIAL, m='degenerate'))}
+   union all select 'macro typed f1', round(avg(2.0*tp/(2*tp+fp+fn)),6)::DOUBLE from ot where tp+fn>0
+   union all select 'link strict', round(strict,6) from lk union all select 'link lenient', round(lenient,6) from lk
+   union all select 'invalid', (select count(*) from (select distinct pair_id from script_gold except select distinct pair_id from script_all) z)::DOUBLE
+   union all select 'exec match', round(avg(ok::INT),6) from replay_ok""")
+def script_summary(b: Inputs):
+    return so.script_summary(_gold_script(b), b.script, sc.trivial_scripts(b.pairs), sc.replays(b.script, b.pairs))
+
+
 k.cte("tok_acc", """select w.pair_id, sum(case when p.s is not null then (h.pair_id is not null)::INT else 1-coalesce(g.sure,0) end)::BIGINT as "right", count(*) as total from rwords w
    left join pred p on p.pair_id=w.pair_id and p.t=w.t left join (select pair_id, t, max(sure::INT) as sure from gold_links group by 1,2) g on g.pair_id=w.pair_id and g.t=w.t
    left join gold_links h on h.pair_id=p.pair_id and h.t=p.t and h.s=p.s group by 1""")

@@ -294,7 +294,8 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hub_pairs(lists: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """(a, b): every list's members in other components than its hub, with the hub. The first round's hub is the
+    """(a, b): every member that lies in another component than the hub of one of its lists, with one such hub: the one it
+    meets in most lists, so a round asks for no more pairs than there are members. The first round's hub of a list is the
     smallest set, later ones are drawn."""
     key = F.col("n") if turn == 0 else F.xxhash64("v", F.lit(turn))
     hubs = lists.groupBy("token").agg(
@@ -303,7 +304,9 @@ def hub_pairs(lists: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     met = lists.join(hubs, "token").filter("comp <> h_comp").filter(
         possible(F.col("n"), F.col("place"), F.col("h_n"), F.col("h_place"), num, den)
     )
-    return met.select(F.least("v", "h_v").alias("a"), F.greatest("v", "h_v").alias("b")).distinct()
+    often = met.filter("v <> h_v").groupBy("v", "h_v").agg(F.count("*").alias("k"))
+    best = often.groupBy("v").agg(F.max(F.struct("k", "h_v")).alias("m")).select("v", F.col("m.h_v").alias("h_v"))
+    return best.select(F.least("v", "h_v").alias("a"), F.greatest("v", "h_v").alias("b")).distinct()
 
 
 def cross_pairs(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
@@ -329,9 +332,11 @@ def cross_pairs(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataF
     dealt = cut(dealt)
     n_buckets = dealt.count() // CROSS_POSTINGS + 1
     dealt = dealt.withColumn("bucket", F.pmod("key", F.lit(n_buckets)).cast("int")).drop("key")
-    held = dealt.select(F.col("bucket").alias("of"), F.col("v").alias("id")).distinct().join(
-        nodes.select(F.col("v").alias("id"), "bitmap"), "id"
-    ).select("of", "id", "bitmap")
+    # an id with several texts has several sets: a member is told by id and size, and where even that is not one set,
+    # its bitmaps rule nothing out
+    held = dealt.select(F.col("bucket").alias("of"), F.col("v").alias("id"), F.col("n").alias("size")).distinct().join(
+        nodes.select(F.col("v").alias("id"), F.col("n").alias("size"), "bitmap"), ["id", "size"]
+    ).select("of", "id", "size", "bitmap")
 
     def pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         none = np.zeros(0, np.int64)
@@ -340,14 +345,18 @@ def cross_pairs(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataF
             lst, v, n, place, comp, side = (
                 np.asarray(left.column(c)) for c in ("list", "v", "n", "place", "comp", "side")
             )
-            ids, maps = np.asarray(right.column("id")), Bitmaps(right.column("bitmap"))
-            by = np.argsort(ids)
-            row = by[np.searchsorted(ids[by], v)]
+            ids, sizes, maps = np.asarray(right.column("id")), np.asarray(right.column("size")), Bitmaps(right.column("bitmap"))
+            known = np.unique(ids)
+            span = int(sizes.max()) + 1
+            code = np.searchsorted(known, ids) * span + sizes
+            by = np.argsort(code)
+            row = by[np.searchsorted(code[by], np.searchsorted(known, v) * span + n)]
+            many = np.zeros(len(ids), bool)
+            many[by[:-1]] |= code[by[1:]] == code[by[:-1]]
+            many[by[1:]] |= code[by[1:]] == code[by[:-1]]
             order = np.lexsort((n, lst))
             lst, row, n, place, comp, side = (x[order] for x in (lst, row, n, place, comp, side))
             size = np.diff([*np.flatnonzero(np.diff(lst, prepend=lst[0] - 1)), len(lst)])
-            n_of = np.zeros(len(ids), np.int64)
-            n_of[row] = n
             waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
             def settle() -> None:
@@ -355,7 +364,7 @@ def cross_pairs(lists: DataFrame, nodes: DataFrame, num: int, den: int) -> DataF
                 waiting.clear()
                 for at in range(0, len(a), 1 << 15):
                     x, y = a[at: at + (1 << 15)], b[at: at + (1 << 15)]
-                    ok = bitmaps_allow(bits_that_differ(maps, x, maps, y), n_of[x], n_of[y], num, den)
+                    ok = bitmaps_allow(bits_that_differ(maps, x, maps, y), sizes[x], sizes[y], num, den) | many[x] | many[y]
                     found.append((x[ok], y[ok]))
 
             for gap in range(1, int(size.max())):

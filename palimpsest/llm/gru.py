@@ -10,8 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 _SHUT = -1e9
-#: Rows of a softmax at a time, so that its tables stay in the cache.
-_ROWS = 2048
+#: Rows of a softmax at a time: a whole window of a batch, so each class is one product.
+_ROWS = 8192
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -21,10 +21,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=-1, keepdims=True))
-    return x
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of column ``at`` of every row, the rows' sums of exponentials). ``x`` becomes the exponentials, so
+    one pass of them serves values and gradients."""
+    rows = np.arange(len(x))
+    x -= x.max(axis=-1, keepdims=True)
+    chosen = x[rows, at]
+    np.exp(x, out=x)
+    total = x.sum(axis=-1)
+    return chosen - np.log(total), total
 
 
 class Gru:
@@ -85,22 +90,27 @@ class Gru:
             order = np.argsort(kind, kind="stable")  # rows of one class side by side
             kind, slot, here = kind[order], (target[part] % size)[order], states[part][order]
             rows = np.arange(len(kind))
-            outer = _log_softmax(here @ p["cw"].T + p["cb"])
+            outer = here @ p["cw"].T
+            outer += p["cb"]
+            log_kind, total_kind = _softmax(outer, kind)
             cuts = np.flatnonzero(np.diff(kind, prepend=-1))
             classes = list(zip(kind[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(kind)], strict=True))
-            inner = p["ob"][kind]
+            inner = np.empty((len(kind), size), here.dtype)
             for k, a, b in classes:
-                inner[a:b] += here[a:b] @ p["ow"][k].T
-            inner = _log_softmax(inner)
-            out[begin + order] = outer[rows, kind].astype(np.float64) + inner[rows, slot]
+                np.matmul(here[a:b], p["ow"][k].T, out=inner[a:b])
+                inner[a:b] += p["ob"][k]
+            log_slot, total_slot = _softmax(inner, slot)
+            out[begin + order] = log_kind.astype(np.float64) + log_slot
             if grads is None:
                 continue
-            d = np.exp(outer)
+            d = outer
+            d /= total_kind[:, None]
             d[rows, kind] -= 1
             grads["cw"] += d.T @ here
             grads["cb"] += d.sum(axis=0)
             d_here = d @ p["cw"]
-            d = np.exp(inner)
+            d = inner
+            d /= total_slot[:, None]
             d[rows, slot] -= 1
             for k, a, b in classes:
                 grads["ow"][k] += d[a:b].T @ here[a:b]
@@ -110,7 +120,7 @@ class Gru:
             back[begin + order] = d_here
         return out, back
 
-    def log_likelihood(self, ids: np.ndarray, first: np.ndarray, begin: int, window: int = 64) -> np.ndarray:
+    def log_likelihood(self, ids: np.ndarray, first: np.ndarray, begin: int, window: int = 32) -> np.ndarray:
         """log10 probability of every sequence ids[first[i]: first[i + 1]]. Each starts from the zero state and the
         token ``begin``; all are walked in windows, the state carried from one window to the next, to the end."""
         length = np.diff(first)
@@ -122,10 +132,11 @@ class Gru:
         start, left = first[:-1][order], length[order]
         h = np.zeros((len(order), self.hidden), np.float32)
         most = int(left.max(initial=0))
+        longer = np.searchsorted(-left, -np.arange(most), side="left").tolist()  # sequences longer than t
         for at in range(0, most, window):
             states, target, owner = [], [], []
             for t in range(at, min(most, at + window)):
-                n = int(np.searchsorted(-left, -t, side="left"))  # sequences longer than t
+                n = longer[t]
                 h = h[:n]
                 where = start[:n] + t
                 h = self._step(inputs[previous[where]], h)[0]
@@ -156,6 +167,19 @@ class Trainer:
             step = (self.mean[k] / (1 - 0.9**self.turn)) / (np.sqrt(self.var[k] / (1 - 0.999**self.turn)) + 1e-8)
             self.model.p[k] -= (self.rate * step).astype(np.float32)
 
+    @staticmethod
+    def _window(sequences: list[np.ndarray], length: np.ndarray, at: int, window: int, begin: int) -> tuple[np.ndarray, ...]:
+        """(alive, tokens before, tokens) of a window of sequences sorted from long to short, place by place."""
+        wide = min(window, int(length[0]) - at)
+        n = np.minimum(length - at, wide)
+        alive = np.arange(wide)[:, None] < n
+        held = np.concatenate([s[at: at + wide] for s in sequences])
+        block = np.zeros((len(sequences), wide + 1), np.int64)
+        block[:, 0] = [s[at - 1] for s in sequences] if at else begin
+        block[:, 1:][alive.T] = held
+        block = block.T
+        return alive, block[:-1][alive], block[1:][alive]
+
     def fit(self, sequences: list[np.ndarray], begin: int, window: int = 32) -> None:
         """One pass over a batch of sequences, window by window, the state carried and its gradient cut between them."""
         model, p = self.model, self.model.p
@@ -165,14 +189,8 @@ class Trainer:
         h = np.zeros((len(sequences), m), np.float32)
         for at in range(0, int(length.max(initial=0)), window):
             live = int(np.searchsorted(-length, -at, side="left"))
-            sequences, length, h = sequences[:live], length[:live], h[:live]
-            block = np.zeros((min(window, int(length[0]) - at) + 1, live), np.int64)  # the tokens before, and the window's
-            block[0] = [s[at - 1] for s in sequences] if at else begin
-            for i, s in enumerate(sequences):
-                held = s[at: at + window]
-                block[1: len(held) + 1, i] = held
-            alive = length > at + np.arange(len(block) - 1)[:, None]
-            token, flat = block[:-1][alive], block[1:][alive]
+            sequences, length, h = sequences[:live], length[:live], h[:live].copy()
+            alive, token, flat = self._window(sequences, length, at, window, begin)
             ends = np.cumsum(alive.sum(axis=1)).tolist()
             places = list(zip([0, *ends[:-1]], ends, strict=True))
             embedded = p["embed"][token]
@@ -181,7 +199,7 @@ class Trainer:
             for a, b in places:
                 old[a:b] = h[: b - a]
                 states[a:b], z[a:b], r[a:b], new[a:b], gn[a:b] = model._step(x[a:b], old[a:b])
-                h = np.concatenate([states[a:b], h[b - a:]]) if b - a < len(h) else states[a:b]
+                h[: b - a] = states[a:b]
             grads = {k: np.zeros_like(v) for k, v in p.items()}
             _, back = model._outputs(states, flat, grads)
             by_z, by_new, by_r = (old - new) * z * (1 - z), (1 - z) * (1 - new * new), gn * r * (1 - r)

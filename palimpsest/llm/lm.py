@@ -31,7 +31,12 @@ VOCABULARY = 2048
 #: One training document in so many trains the network in the rounds before the last, and all of them in the last.
 TRAIN_ONE_IN = 16
 ROUNDS = 2
-BATCH_DOCS = 32
+#: Texts of a training step, at least and at most: a pass over the texts held has ``PASS_STEPS`` batches where it can.
+BATCH_DOCS = (16, 128)
+PASS_STEPS = 12
+#: Tokens of a step's window, and tokens of the texts that are sorted by length together.
+WINDOW = 64
+HELD_TOKENS = 6_000_000
 #: Copies that are averaged at most; more tasks than that are joined to so many.
 COPIES = 4096
 #: Words whose counts are sent to every task: 12 bytes each.
@@ -92,12 +97,14 @@ class Lexicon:
         """(place of every word, whether it is there)"""
         if not len(self.words):
             return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return at, self.words[at] == hashes
-
-    def sequences(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(network ids of all texts, each followed by the end, and where each begins)"""
-        at, there = self.find(hashes)
+        # in order, each word once: neighbours in the table are then looked up one after the other
+        each, back = np.unique(hashes, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.words, each), len(self.words) - 1)
+        return at[back], (self.words[at] == each)[back]
+
+    def sequences(self, hashes: np.ndarray, first: np.ndarray, found: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(network ids of all texts, each followed by the end, and where each begins); ``found`` is what :meth:`find` says."""
+        at, there = found or self.find(hashes)
         ids = np.where(there, self.ids[at], self.unknown) if len(self.ids) else np.full(len(hashes), self.unknown)
         return np.insert(ids, first[1:], self.end), first + np.arange(len(first))
 
@@ -140,14 +147,27 @@ def train(training: DataFrame, lexicon, start: np.ndarray | None, rate: float, o
         if sent.value is not None:
             model.load(sent.value)
         trainer = Trainer(model, rate)
+        held: list[np.ndarray] = []
+
+        def learn() -> None:
+            """One pass over the texts held: texts of like length side by side, batches in drawn order."""
+            order = np.argsort([len(t) for t in held], kind="stable").tolist()
+            size = max(BATCH_DOCS[0], min(BATCH_DOCS[1], len(order) // PASS_STEPS))
+            groups = [order[i: i + size] for i in range(0, len(order), size)]
+            for k in np.random.default_rng(len(order)).permutation(len(groups)).tolist():
+                trainer.fit([held[i] for i in groups[k]], known.end, WINDOW)
+            held.clear()
+
+        tokens = 0
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
             ids, first = known.sequences(words.hash, words.first)
-            texts = [ids[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            order = np.argsort([len(t) for t in texts], kind="stable").tolist()
-            groups = [order[i: i + BATCH_DOCS] for i in range(0, len(order), BATCH_DOCS)]
-            for k in np.random.default_rng(len(order)).permutation(len(groups)).tolist():
-                trainer.fit([texts[i] for i in groups[k]], known.end)
+            held += [ids[a:b].astype(np.int32) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            tokens += len(ids)
+            if tokens > HELD_TOKENS:
+                learn()
+                tokens = 0
+        learn()
         part = TaskContext.get().partitionId() % 64
         total = model.vector().astype(np.float64) * trainer.tokens
         yield pa.RecordBatch.from_arrays(
@@ -184,6 +204,21 @@ def _scored(source: DataFrame, lexicon, weights) -> DataFrame:
         model = Gru(known.freq).load(weights.value)
         base_per_token = np.log10(known.total + known.types + 1)
         outside_per_word = np.log10(known.outside_total)
+        pending: list[tuple] = []  # columns of a slice but the network's, its ids, and where each text's begin
+
+        def flush() -> pa.RecordBatch:
+            ids = np.concatenate([np.zeros(0, np.int32), *[x[1] for x in pending]])
+            begin, at = [np.zeros(1, np.int64)], 0
+            for _, some, first in pending:
+                begin.append(first[1:] + at)
+                at += len(some)
+            likelihood = model.log_likelihood(ids, np.concatenate(begin), known.end)
+            columns = [pa.concat_arrays([x[0][i] for x in pending]) for i in range(7)]
+            pending.clear()
+            columns[5] = pa.array(np.asarray(columns[5]) + likelihood)
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PART.split(", ")])
+
+        tokens = 0
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
             hashes, first = words.hash, words.first
@@ -199,18 +234,21 @@ def _scored(source: DataFrame, lexicon, weights) -> DataFrame:
             def summed(x: np.ndarray) -> np.ndarray:
                 return np.bincount(np.repeat(np.arange(len(n)), n), weights=x, minlength=len(n))  # noqa: B023
 
-            ids, begin = known.sequences(hashes, first)
-            score = model.log_likelihood(ids, begin, known.end)
-            score += summed(np.where(outside, logs, 0.0)) - per_text(outside) * outside_per_word
+            ids, begin = known.sequences(hashes, first, (at, there))
+            beside = summed(np.where(outside, logs, 0.0)) - per_text(outside) * outside_per_word
             base = summed(logs) + np.log10(known.n_docs + 1.0) - (n + 1) * base_per_token
             rare = [hashes[a:b][~there[a:b]].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("held_out"), pa.array(n + 1, pa.int64()),
-                    pa.array(per_text(there) + (known.n_docs > 0), pa.int64()), pa.array(base), pa.array(score), pa.array(rare, pa.binary()),
-                ],
-                [c.split()[0] for c in _PART.split(", ")],
-            )
+            columns = [
+                batch.column("doc_id"), batch.column("held_out"), pa.array(n + 1, pa.int64()),
+                pa.array(per_text(there) + (known.n_docs > 0), pa.int64()), pa.array(base), pa.array(beside), pa.array(rare, pa.binary()),
+            ]
+            pending.append((columns, ids.astype(np.int32), begin))
+            tokens += len(ids)
+            if tokens > HELD_TOKENS:
+                yield flush()
+                tokens = 0
+        if pending:
+            yield flush()
 
     return source.select("doc_id", "held_out", "text").mapInArrow(run, _PART)
 
@@ -235,6 +273,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others are counted. ``base_score``: log10 of the add-one unigram probability; ``score``: log10 of the network's.
     A null text is the end alone. Repeated rows count, and are scored, as often as they stand there. Without any
     training row nothing is known and the base score is 0. An empty table gives no rows; other columns are not read.
+
+    ``base_score`` does not depend on how the table is split. ``score`` does: every task trains a copy of the network on
+    the training texts of its partition, and the copies are averaged, so another split gives another (equally trained)
+    network. Within one network a text's score does not depend on the texts beside it.
     """
     spark = docs.sparkSession
     number = F.col(f"`{id_col}`").cast("bigint")

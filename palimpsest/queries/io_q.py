@@ -196,6 +196,30 @@ def replies(b: Inputs):
     return b.words.filter("s >= 0").select("pair_id", "t", io.reply_tag(text, TAGS).alias("tag"))
 
 
+@query("S22_last_tags", "select pair_id, t, tag from typed_pred")
+def last_tags(b: Inputs):
+    text = F.concat(F.lit("SYN came to mind first.\n\nIn the end "), F.lower("tag"), F.lit("\n \nno more to say, word "), "t")
+    return b.words.filter("s >= 0").select("pair_id", "t", io.last_reply_tag(text, TAGS).alias("tag"))
+
+
+@query("S22_reply_relations", """select lemma, case relation when 'synonyms' then 'SYN' when 'hypernyms' then 'HYPER' when 'hyponyms' then 'HYPO' else 'ANT' end as relation, other from lex
+   where relation in ('synonyms','hypernyms','hyponyms','antonyms')""")
+def reply_relations(b: Inputs):
+    listed = lambda r: F.filter(F.collect_list(F.when(F.col("relation") == r, F.col("other"))), lambda w: w.isNotNull())
+    glossed = F.transform(listed("hypernyms"), lambda w: F.array(w, F.lit("a gloss")))
+    said = b.lexicon.groupBy("lemma").agg(F.to_json(F.struct(
+        listed("synonyms").alias("SYN"), glossed.alias("HYPER"), listed("hyponyms").alias("hypo"), listed("antonyms").alias("ant"), F.lit(3).alias("n"))).alias("json"))
+    reply = F.concat(F.lit("Here they are:\n"), "json", F.lit("\nThat is all."))
+    return said.select("lemma", F.explode(io.reply_relations(reply)).alias("relation", "w")).select("lemma", "relation", F.explode("w").alias("other"))
+
+
+@query("S23_losses", "select 'run' as tag, 'stage two update' as stage, (t+1)::INT as step, n_r as total, round((t+1)/1000.0,6)::DOUBLE as loss, count(*) as n from rwords group by 3,4,5")
+def losses(b: Inputs):
+    loss = ((F.col("t") + 1) / 1000.0).cast("string")
+    lines = b.rwords.select(F.concat(F.lit("[run] stage two update "), F.col("t") + 1, F.lit("/"), "n_r", F.lit(": mean loss "), loss).alias("value"))
+    return io.curve_points(lines).groupBy("tag", "stage", "step", "total", F.round("loss", 6).alias("loss")).agg(F.count("*").alias("n"))
+
+
 @query("S23_loss_points", "select 'run' as tag, 'epoch' as stage, (t+1)::INT as step, n_r as total, count(*) as n from rwords group by 3,4")
 def curve(b: Inputs):
     lines = b.rwords.select(F.concat(F.lit("[run] epoch "), F.col("t") + 1, F.lit("/"), "n_r", F.lit(": loss 0.5")).alias("value"))

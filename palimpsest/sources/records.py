@@ -217,6 +217,33 @@ def reply_tag(reply: Column, tags: tuple[str, ...]) -> Column:
     return F.array_min(found)["tag"]
 
 
+def last_reply_tag(reply: Column, tags: tuple[str, ...]) -> Column:
+    """The tag of the last line that names one; NULL where none does."""
+    lines = F.filter(F.split(reply, r"\r\n|[\n\r]"), lambda line: F.trim(line) != "")
+    named = F.filter(F.transform(F.reverse(lines), lambda line: reply_tag(line, tags)), lambda t: t.isNotNull())
+    return F.coalesce(F.get(named, F.lit(0)), reply_tag(reply, tags))
+
+
+REPLY_RELATIONS = ("SYN", "HYPER", "HYPO", "ANT")
+
+
+def reply_relations(reply: Column) -> Column:
+    """MAP<relation, words> of the JSON block in a reply, from its first brace to its last: the four relations by their name
+    or its small letters, each a list of words or of (word, gloss) lists. What is no such list, and a reply without a block
+    or with a broken one, gives empty lists."""
+    block = F.regexp_extract(reply, r"(?s)\{.*\}", 0)
+    held = F.from_json(block, "map<string,string>")
+    none = F.array().cast("array<string>")
+
+    def words(name: str) -> Column:
+        raw = F.coalesce(F.nullif(F.try_element_at(held, F.lit(name)), F.lit("[]")), F.try_element_at(held, F.lit(name.lower())))
+        items = F.when(F.startswith(raw, F.lit("[")), F.from_json(raw, "array<string>"))
+        first = lambda x: F.when(F.startswith(x, F.lit("[")), F.get(F.from_json(x, "array<string>"), F.lit(0))).otherwise(x)
+        return F.filter(F.transform(F.coalesce(items, none), lambda x: F.trim(first(x))), lambda w: w.isNotNull() & (w != ""))
+
+    return F.create_map(*[x for name in REPLY_RELATIONS for x in (F.lit(name), words(name))])
+
+
 def curve_points(lines: DataFrame) -> DataFrame:
     """(tag, stage, step, total, loss) of training log lines; lines without a step are ignored."""
     pattern = r"(?:\[([a-z_0-9]+)\]\s+)?(.*?)\b(epoch|update)\s+(\d+)/(\d+):?\s+.*?loss\s+([0-9.]+(?:e-?[0-9]+)?)"

@@ -124,3 +124,15 @@ def test_lexicon_files(spark, tmp_path):
     (tmp_path / "x_bad.json").write_text('{"synonyms": ["y"]}')
     (tmp_path / "v_cano.json").write_text('{"_error": "404"}')
     assert [tuple(r) for r in io.lexicon_files(spark, str(tmp_path)).collect()] == [("gladius", "n", "synonyms", "ensis")]
+
+
+def test_replies(spark):
+    replies = [
+        ("a", "SYN first\n\nno, ANT\nthat is it"), ("b", "nothing"), ("c", "syn-dist"),
+        ("d", 'x {"SYN": ["ensis", ["gladius", "sword"], " "], "hyper": [], "ANT": "no list", "HYPO": []} y'), ("e", "{broken"), ("f", None),
+    ]
+    df = spark.createDataFrame(replies, "id string, reply string")
+    got = {r.id: (r.tag, r.rel) for r in df.select("id", io.last_reply_tag(F.col("reply"), ("SYN", "SYN-DIST", "ANT")).alias("tag"), io.reply_relations(F.col("reply")).alias("rel")).collect()}
+    assert [got[k][0] for k in "abc"] == ["ANT", None, "SYN-DIST"]
+    assert got["d"][1] == {"SYN": ["ensis", "gladius"], "HYPER": [], "HYPO": [], "ANT": []}
+    assert all(got[k][1] == {"SYN": [], "HYPER": [], "HYPO": [], "ANT": []} for k in "abef")

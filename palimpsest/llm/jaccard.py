@@ -34,7 +34,7 @@ _CHUNKS = 16
 #: Bits of a set's bitmap, and of that of a set of more than ``LARGE`` shingles.
 BITS, WIDE, LARGE = 2048, 16384, 1024
 #: Postings a bucket is planned for; those of so many groups are packed together.
-BUCKET_POSTINGS = 1_000_000
+BUCKET_POSTINGS = 400_000
 PACK_GROUPS = 4096
 #: Members of a list that one block of the last round holds, and postings of one of its tasks.
 BLOCK = 2048

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from palimpsest.operators import align, mining
+from palimpsest.operators import align, em, mining
 from palimpsest.plans.base import Inputs
 from palimpsest.plans.lineage import cut, lay
 
@@ -49,3 +49,13 @@ def test_hits_are_counted_where_the_passage_lies(spark):
     # the small corpus side is still dealt by text and by word
     assert not any(f"hashpartitioning({c}#" in plan for c in ("q", "c", "pid"))
     assert [(r.q, r.c, r.n_shared, r.r_tok[3]) for r in pairs.collect()] == [(2, 1, 3, "xerxes")]
+
+
+def test_the_fit_lies_by_reuse_word(spark):
+    b = pair_table(spark)
+    cells = em.em_cells(b.grid, b.rwords)
+    assert shuffles(cells.groupBy("pair_id", "t").count()) == 0
+    rows = em.collapsed(cells)
+    assert shuffles(rows.groupBy("wt", "ws").count()) == 0
+    # 20 equal pairs: every occurrence meets a, b, c and the null
+    assert {(r.wt, r.m, r.k) for r in rows.collect()} == {(w, 20, 1) for w in ("aa", "bx", "cc", "dd")} and rows.count() == 16

@@ -59,3 +59,37 @@ def test_the_fit_lies_by_reuse_word(spark):
     assert shuffles(rows.groupBy("wt", "ws").count()) == 0
     # 20 equal pairs: every occurrence meets a, b, c and the null
     assert {(r.wt, r.m, r.k) for r in rows.collect()} == {(w, 20, 1) for w in ("aa", "bx", "cc", "dd")} and rows.count() == 16
+
+
+def evidence_inputs(spark):
+    b = pair_table(spark)
+    vec = [("aa", [1.0, 0.0]), ("bb", [0.6, 0.8]), ("aabab", [3.0, 4.0])]
+    rows = [(f"{i}_1", "aabab aaque bbb Ccc".split(), "aabab aabac bbb ddd ccc".split()) for i in range(20)]
+    pairs = spark.createDataFrame(rows, "pair_id string, s_tok array<string>, r_tok array<string>")
+    for side in ("s", "r"):
+        pairs = pairs.withColumn(f"{side}_norm", F.transform(f"{side}_tok", F.lower)).withColumn(f"n_{side}", F.size(f"{side}_tok"))
+    b.__dict__["pairs"] = b.lay(pairs)
+    b.__dict__["vectors"] = spark.createDataFrame([*vec, ("bbb", [1.0, 1.0])], "lemma string, vec array<double>")
+    b.__dict__["lexicon"] = spark.createDataFrame([("bbb", "a", "synonyms", "ddd"), ("zzz", "a", "synonyms", "ddd")], "lemma string, pos string, relation string, other string")
+    b.__dict__["names"] = spark.createDataFrame([("Ccc",)], "form string")
+    b.__dict__["norms"] = spark.createDataFrame([("bbb", 3), ("aabab", 5)], "norm string, n long")
+    return b
+
+
+def test_evidence_moves_no_cell(spark):
+    b = evidence_inputs(spark)
+    for df in (b.evidence, b.evid, b.sims, b.cell_evidence, b.evidence_of(b.gold)):
+        assert shuffles(df.groupBy("pair_id", "t").count()) == 0
+    assert b.evidence.count() == 20 * 4 * 5
+    one = {(r.sw, r.rw): r for r in b.evidence.filter("pair_id = '0_1'").collect()}
+    assert one["bbb", "ddd"].wn_syn == 1 and one["bbb", "ddd"].tier == 1 and one["bbb", "ddd"].wn_missing == 0
+    assert abs(one["bbb", "aabab"].cos - 7 / 50**0.5) < 1e-12 and one["bbb", "ddd"].cos_missing == 1
+    assert one["Ccc", "ccc"].either_name == 1 and one["Ccc", "ccc"].both_names == 0
+
+
+def test_lemma_tables_too_large_to_broadcast_give_the_same_evidence(spark):
+    small, large = evidence_inputs(spark), evidence_inputs(spark)
+    large.__dict__["lemma_tables"] = None
+    for name in ("evidence", "evid", "sims", "cell_evidence"):
+        a, b = getattr(small, name), getattr(large, name)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))

@@ -93,3 +93,25 @@ def test_lemma_tables_too_large_to_broadcast_give_the_same_evidence(spark):
     for name in ("evidence", "evid", "sims", "cell_evidence"):
         a, b = getattr(small, name), getattr(large, name)
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
+
+
+def test_balancing_is_one_pass_over_the_pairs(spark):
+    b = pair_table(spark)
+    out = align.sinkhorn(b.fwd, b.pairs)
+    assert shuffles(out) == 0 and "Scan ExistingRDD" in out._jdf.queryExecution().executedPlan().toString()
+    rows = {(r.t, r.s): r.p for r in out.filter("pair_id = '3_1'").collect()}
+    assert set(rows) == {(r.t, r.s) for r in b.fwd.filter("pair_id = '3_1'").collect()} and out.count() == b.fwd.count()
+    # the rounds by hand: 4 reuse words, 3 source words, a bin each
+    from math import exp, log
+
+    z = [[-30.0] * 4 for _ in range(4)] + [[0.0] * 4]
+    for r in b.fwd.filter("pair_id = '3_1'").collect():
+        z[r.t][r.s if r.s >= 0 else 3] = log(r.p)
+    norm = -log(7)
+    mu, nu = [norm] * 4 + [log(3) + norm], [norm] * 3 + [log(4) + norm]
+    v = [0.0] * 4
+    for _ in range(10):
+        u = [mu[i] - log(sum(exp(z[i][j] + v[j]) for j in range(4))) for i in range(5)]
+        v = [nu[j] - log(sum(exp(z[i][j] + u[i]) for i in range(5))) for j in range(4)]
+    for (t, s), p in rows.items():
+        assert abs(p - exp(z[t][s] + u[t] + v[s] - norm)) < 1e-12

@@ -136,3 +136,19 @@ def test_replies(spark):
     assert [got[k][0] for k in "abc"] == ["ANT", None, "SYN-DIST"]
     assert got["d"][1] == {"SYN": ["ensis", "gladius"], "HYPER": [], "HYPO": [], "ANT": []}
     assert all(got[k][1] == {"SYN": [], "HYPER": [], "HYPO": [], "ANT": []} for k in "abef")
+
+
+def test_the_word_table_is_derived_once(spark):
+    from palimpsest.operators import typing_ as ty
+
+    src, toks = "arma uirum cano te".split(), "ut ait arma uirumque cano".split()
+    w = table(spark, "p", 4, {2: 0, 3: 1, 4: 2}, toks, tags={2: "NOP", 3: "MORPH", 4: "NOP"}, frame=(0, 1))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    # the mask's look ahead is not part of the script's plan, nor the join with the evidence of the formula rule's
+    assert "lead(" in plan(ty.clean_mask(w)) and "lead(" not in plan(sc.decode_script(w, sources(spark, "p", src)))
+    links = w.filter("s >= 0").select("pair_id", "t", "s")
+    zeros = [F.lit(0).alias(c) for c in ("enclitic_stem_match", "enclitic_src", "enclitic_tgt", "same_lemma", "wn_syn", "wn_deriv", "wn_hyper", "wn_hypo", "wn_ant", "cos_missing", "same_pos", "both_names", "lemma_missing")]
+    evidence = links.select("*", F.lit("a").alias("sw"), F.lit("a").alias("rw"), F.lit(1).alias("same_form"), F.lit(0.0).alias("cos"), *zeros)
+    typed = ty.typed_words(w.select("pair_id", "n_s", "n_r", "t", "word", "norm"), links, evidence)
+    assert "same_form" not in plan(typed)
+    assert {(r.t, r.s, r.tag) for r in typed.collect()} == {(0, -1, "INS"), (1, -1, "INS"), (2, 0, "COPY"), (3, 1, "COPY"), (4, 2, "COPY")}

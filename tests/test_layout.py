@@ -115,3 +115,13 @@ def test_balancing_is_one_pass_over_the_pairs(spark):
         v = [nu[j] - log(sum(exp(z[i][j] + u[i]) for i in range(5))) for j in range(4)]
     for (t, s), p in rows.items():
         assert abs(p - exp(z[t][s] + u[t] + v[s] - norm)) < 1e-12
+
+
+def test_the_vocabulary_is_counted_once(spark):
+    b = Inputs(spark, "")
+    rows = [("s", 1, 1, 0, "Arma"), ("s", 1, 1, 1, "arma,"), ("r", 2, 2, 0, "arma"), ("r", 2, 2, 1, "!"), ("r", 2, 2, 2, "uir")]
+    b.__dict__["tokens"] = spark.createDataFrame(rows, "side string, pid long, work long, i int, surface string")
+    assert {(r.norm, r.n) for r in b.attested.collect()} == {("arma", 3)}
+    assert {r.norm: r.n for r in b.norms.collect()}["uir"] == 1 and b.forms.count() == 5
+    del b.__dict__["tokens"]  # nothing below reads the corpus again
+    assert b.attested.count() == 1 and "Scan ExistingRDD" in b.attested._jdf.queryExecution().executedPlan().toString()

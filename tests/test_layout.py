@@ -162,3 +162,11 @@ def test_a_dump_is_dealt_once(spark, tmp_path):
     for df in (rows, links):
         assert shuffles(df.groupBy("pair_id", "t").count()) == 0
     assert links.count() > 0 and dumps_q.lost(b).first()["lost"] == 0
+
+
+def test_fragments_lie_by_pair(spark, monkeypatch):
+    b = pair_table(spark)
+    kept = []
+    monkeypatch.setattr(align, "cut", lambda df, **k: kept.append(cut(df, **k)) or kept[-1])
+    assert align.fragment_decode(b.fwd, b.rev, b.rwords, theta=0.3).count() > 0
+    assert len(kept) >= 3 and all(shuffles(df.groupBy("pair_id", "t").count()) == 0 for df in kept[:3])

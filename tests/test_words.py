@@ -94,3 +94,22 @@ def test_ranked_pairs_equals_one_pass_greedy(spark):
         used_s[s] = used_s.get(s, 0) + 1
     got = [r["id"] for r in mn.ranked_pairs(df, per_source=2).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_vocabulary_is_counted_by_form(spark, tmp_path):
+    from palimpsest.plans.base import Inputs
+    from palimpsest.queries import evidence_q
+
+    words = [("alpha", 3), ("alphb", 1), ("beta", 2), ("ab", 9), ("gamma", 1)]
+    rows = [(w, w[:5], "n") for w, n in words for _ in range(n)]
+    each = tk.candidate_vocabulary(spark.createDataFrame(rows, "norm string, lemma string, pos string"), frequent_cutoff=2)
+    once = tk.candidate_vocabulary(spark.createDataFrame([(w, w[:5], "n", n) for w, n in words], "norm string, lemma string, pos string, n long"), frequent_cutoff=2)
+    assert sorted(map(tuple, each.collect())) == sorted(map(tuple, once.collect())) and each.count() == 3
+    b = Inputs(spark, "")
+    toks = spark.createDataFrame([("s", 1, 1, 0, "Arma", "arma"), ("r", 2, 2, 0, "ab", "ab"), ("r", 2, 2, 1, "armaque", "armaque")],
+                                 "side string, pid long, work long, i int, surface string, norm string")
+    b.__dict__.update(tokens=toks, names=spark.createDataFrame([("Arma",)], "form string"), attested=spark.createDataFrame([("arma", 3)], "norm string, n long"))
+    out = evidence_q._annotated(b)
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()  # no word is moved
+    got = {(r.surface, r.lemma, r.is_name, r.enclitic) for r in out.collect()}
+    assert got == {("Arma", "arma", True, None), ("ab", None, False, None), ("armaque", "armaq", False, "que")}

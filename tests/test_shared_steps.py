@@ -6,6 +6,7 @@ import pytest
 from palimpsest.operators import align as al
 from palimpsest.operators import kernels
 from palimpsest.operators import lexicon as lx
+from palimpsest.operators import negatives as ng
 from palimpsest.plans import base
 
 
@@ -88,3 +89,13 @@ def test_grown_links_and_their_ranks(spark):
     got = sorted(tuple(x) for x in al.grow_diag_final(f, r).select("t", "s", "rank").collect())
     assert got == [(0, 0, 1), (0, 1, 2), (1, 1, 1), (3, 5, 1)]
     assert "aggregate(" not in _plan(al.grow_diag_final(f, r))
+
+
+def test_easy_negatives_rank_the_passages_once(spark):
+    passages = [(i, "a", f"w{i} " * 7, 7) for i in range(20)]
+    corpus = spark.createDataFrame(passages, "pid long, author string, txt string, n int")
+    rows = spark.createDataFrame([(f"r{i}", "a", f"q{i}", 7) for i in range(5)], "id string, author string, query_txt string, n_q int")
+    attested = spark.createDataFrame([("none", "none")], "txt string, query_txt string")
+    out = ng.easy(rows, corpus, attested)
+    assert {r["id"] for r in out.collect()} == {f"r{i}" for i in range(5)}
+    assert "Window" not in _plan(out)

@@ -1,5 +1,7 @@
 """Steps that several queries share: what they hand on, and that they move no more than they need."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 
@@ -8,6 +10,7 @@ from palimpsest.operators import kernels
 from palimpsest.operators import lexicon as lx
 from palimpsest.operators import negatives as ng
 from palimpsest.plans import base
+from palimpsest.queries import script_q
 
 
 def _plan(df):
@@ -99,3 +102,12 @@ def test_easy_negatives_rank_the_passages_once(spark):
     out = ng.easy(rows, corpus, attested)
     assert {r["id"] for r in out.collect()} == {f"r{i}" for i in range(5)}
     assert "Window" not in _plan(out)
+
+
+def test_details_look_at_linked_cells_only(spark, monkeypatch):
+    asked = []
+    found = spark.createDataFrame([("a", 2, "COPY", "")], "pair_id string, t int, tag string, detail string")
+    monkeypatch.setattr(script_q.ty, "rule_type", lambda links, evidence: evidence)
+    b = SimpleNamespace(pred="links", link_evidence=lambda links: asked.append(links) or found)
+    assert [tuple(r) for r in script_q._details(b).collect()] == [("a", 2, "COPY", "CASE")]
+    assert asked == ["links"]

@@ -269,10 +269,13 @@ def links_lost(b: Inputs):
 
 @query("A43_self_training_edges")
 def self_training(b: Inputs):
-    edges = al.framed_edges(al.agreed_edges(b.fwd, b.rev, b.rwords, b.swords, tau=0.5, tau_changed=0.3))
+    # edges, words and script are each read several times: written once, where their pair lies
+    agreed = cut(al.agreed_edges(b.fwd, b.rev, b.rwords, b.swords, tau=0.5, tau_changed=0.3), laid=True)
+    edges = cut(al.framed_edges(agreed), laid=True)
     typed = ty.rule_type(edges, b.evidence_of(edges)).select("pair_id", "t", "s", "tag")
     words = b.rwords.join(edges.select("pair_id", "t", "s"), ["pair_id", "t"], "left").select(
         "pair_id", "n_s", "n_r", "t", "word", "norm", F.coalesce("s", F.lit(-1)).alias("s"), F.when(F.col("s").isNull(), "INS").otherwise("SUBST").alias("tag"), F.lit(0).alias("frame"))
-    ok = sc.replays(sc.decode_script(cut(words), b.swords), b.pairs).filter("ok")
+    script = cut(sc.decode_script(cut(words, laid=True), b.swords), laid=True)
+    ok = sc.replays(script, b.pairs).filter("ok")
     tag = F.when(F.col("tag").isin("COPY", "MORPH"), F.col("tag")).otherwise("SUBST")
     return typed.join(ok.select("pair_id"), "pair_id", "left_semi").select("pair_id", "t", "s", tag.alias("op"), F.lit("self-training").alias("links"))
